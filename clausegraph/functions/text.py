@@ -44,21 +44,26 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(text)), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
+def _run_grams(run: Column, n: int) -> Column:
+    """n-grams of one string in linear time: characters are cut once, then joined."""
+    def join(chars):
+        size = F.size(chars)
+        at = F.sequence(F.lit(1), size - F.lit(n - 1))
+        grams = F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)]))
+        return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(run, F.lit("(?s)(.)"), F.lit(1)), join)
+
+
 def char_ngrams(text: Column | str, n: int) -> Column:
     """Overlapping character n-grams; texts shorter than ``n`` give none."""
-    return let(_col(text), lambda c: _run_grams(c, n))
+    return _run_grams(_col(text), n)
 
 
 def char_bigrams(text: Column | str) -> Column:
     return char_ngrams(text, 2)
 
 
-def _run_grams(run: Column, n: int) -> Column:
-    size = F.char_length(run)
-    grams = F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), lambda i: F.substring(run, i, F.lit(n)))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def mixed_features(text: Column | str) -> Column:
     """Bigrams and trigrams of ideograph runs plus whole words of other scripts."""
     c = F.lower(_col(text))
