@@ -15,6 +15,7 @@ from clausegraph.functions.exact import to_fixed
 from clausegraph.operators.lexicon import PhraseMatcher, contains_join
 from clausegraph.operators.scale import first_by, fits, lookup_join, top_per_key
 from clausegraph.packs.base import GraphPack
+from clausegraph.session import cut_lineage
 
 EDGE_KEY = ["source", "target", "relation", "item_id"]
 
@@ -151,11 +152,16 @@ def prune_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build_graph(units: DataFrame, items: DataFrame, pack: GraphPack) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` from ``units(item_id, law, unit_no, unit)`` and ``items(item_id, law, text)``."""
-    facts = sentence_facts(units, pack)
+    """``(nodes, edges)`` from ``units(item_id, law, unit_no, unit)`` and ``items(item_id, law, text)``.
+
+    Facts and edges are checkpointed: searches read the graph many times and must
+    not scan the texts again, also when executors are lost in between.
+    """
+    facts = cut_lineage(sentence_facts(units, pack).drop("unit"))
     nodes = pack_nodes(units.sparkSession, pack)
     base = sentence_edges(facts, pack).unionByName(propagated_edges(facts, item_penalties(items, pack), pack))
-    edges = dedupe_edges(base.unionByName(theme_edges(base, nodes, pack)))
+    base = dedupe_edges(base)
+    edges = cut_lineage(dedupe_edges(base.unionByName(theme_edges(base, nodes, pack))))
     return prune_nodes(nodes, edges), edges
 
 
@@ -167,8 +173,8 @@ def merge_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     The item list itself stays in long form (:func:`edge_items`): one popular
     pair may own a large share of all edges.
     """
-    per_item = edges.groupBy("source", "target", "relation", "item_id").agg(
-        F.min(F.struct(*order, "item_id", "law")).alias("f0"))
+    fields = [*order, *[c for c in ("item_id", "law") if c not in order]]
+    per_item = edges.groupBy("source", "target", "relation", "item_id").agg(F.min(F.struct(*fields)).alias("f0"))
     return per_item.groupBy("source", "target", "relation").agg(
         F.min("f0").alias("f"), F.count(F.lit(1)).alias("n_items")).select(
         "source", "target", "relation", F.col("f.item_id").alias("item_id"), F.col("f.law").alias("law"), "n_items")

@@ -54,7 +54,9 @@ class PhraseMatcher:
         entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(p).alias("p"))
                             for p, i in self.index.items()])
         found = F.transform(F.filter(entries, lambda e: F.contains(c, e.p)), lambda e: e.i)
-        return df.withColumn(self.column, found)
+        # A one-element explode keeps later filters from copying the scan of the
+        # text into every predicate they test.
+        return df.withColumn(self.column, F.explode(F.array(found)))
 
     def _numbers(self, phrases: Iterable[str]) -> list[int]:
         return [self.index[p] for p in phrases if p in self.index]

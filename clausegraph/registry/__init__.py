@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the registry."""
 
-from clausegraph.registry import channels, lexical  # noqa: F401
+from clausegraph.registry import channels, graphs, lexical  # noqa: F401
 from clausegraph.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
