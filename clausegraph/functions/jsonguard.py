@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Field names, defaults and confidence levels of an answer record.
 FIELDS = ("conclusion", "conditions", "basis", "supplement", "confidence")
@@ -100,7 +101,7 @@ def repair(text: str | None) -> tuple[str | None, str]:
     return None, "fallback"
 
 
-@F.pandas_udf("json string, how string")
+@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("how", T.StringType())]))
 def repair_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repair(t) for t in texts], columns=["json", "how"])
 
