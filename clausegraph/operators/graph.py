@@ -6,7 +6,7 @@ sortable struct that fixes which of several equal edges came first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegraph.config import GraphWeights
@@ -226,8 +226,7 @@ def graph_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, pack: G
     seeds = link_entities(queries, nodes, pack.behavior_kinds, w)
     seeds = seeds.join(queries.select("query_id", punish.alias("asks_punish")), "query_id")
     is_behavior = F.col("type").isin(*pack.behavior_kinds)
-    flagged = seeds.groupBy("query_id").agg(F.max(is_behavior).alias("has_behavior"))
-    seeds = seeds.join(flagged, "query_id")
+    seeds = cut_lineage(seeds.withColumn("has_behavior", F.max(is_behavior).over(Window.partitionBy("query_id"))))
     boost = F.when(F.col("asks_punish"), w.punish_boost).otherwise(1.0)
     weight = (F.when(F.col("type") == pack.subject_type, F.col("strength") * w.subject)
               .when(F.col("type") == pack.theme_type, F.col("strength") * w.theme)

@@ -183,8 +183,8 @@ def tfidf_search(units: DataFrame, queries: DataFrame, k: int = 5, tokenizer: tx
     terms = query_terms(queries, tokenizer)
     known = terms.join(dictionary, "token").select(
         "query_id", "token", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
-    q_norm = known.groupBy("query_id").agg(F.sqrt(from_fixed(fixed_sum(F.col("qw") * F.col("qw")))).alias("qn"))
-    q_weights = known.join(q_norm, "query_id").select("query_id", "token", (F.col("qw") / F.col("qn")).alias("qw"))
+    q_norm = F.sqrt(from_fixed(fixed_sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
+    q_weights = known.select("query_id", "token", (F.col("qw") / q_norm).alias("qw"))
 
     weighted = attach_dictionary(postings.where("not is_unit"), dictionary, hot_df, broadcast_rows)
     w = (1 + F.log("tf")) * F.col("idf")

@@ -158,9 +158,10 @@ def html_lines_parser(spark, d):
     return pages.select("page_id", F.size("ls").cast("bigint").alias("n_lines"), F.array_join("ls", "|").alias("body"))
 
 
-@register("body_slice", f"""WITH p AS (SELECT page_id, {_HTML_LINES} AS ls FROM pages), q AS (SELECT *, ls[len(ls)] AS stop, ls[2] AS start FROM p),
-a AS (SELECT *, list_position(ls, start) AS at FROM q), r AS (SELECT *, list_slice(ls, at, len(ls)) AS rest FROM a WHERE at > 0)
-SELECT page_id, CAST(list_position(rest, stop) - 1 AS BIGINT) AS n_lines, array_to_string(list_slice(rest, 1, list_position(rest, stop) - 1), '|') AS body FROM r WHERE list_position(rest, stop) > 0""")
+@register("body_slice", f"""WITH p AS (SELECT page_id, {_HTML_LINES} AS ls FROM pages), q AS (SELECT *, ls[len(ls)] AS last_line, ls[2] AS first_line FROM p),
+a AS (SELECT *, list_position(ls, first_line) AS i FROM q), r AS (SELECT page_id, last_line, list_slice(ls, i, len(ls)) AS tail FROM a WHERE i > 0),
+e AS (SELECT page_id, tail, list_position(tail, last_line) AS j FROM r)
+SELECT page_id, CAST(j - 1 AS BIGINT) AS n_lines, array_to_string(list_slice(tail, 1, j - 1), '|') AS body FROM e WHERE j > 0""")
 def body_slice(spark, d):
     pages = spread_table(spark, d, "pages").withColumn("ls", corpus.html_lines_sql("html"))
     out = pages.withColumn("b", corpus.slice_body(F.col("ls"), F.get("ls", F.lit(1)), F.element_at("ls", -1))).where(F.col("b").isNotNull())
