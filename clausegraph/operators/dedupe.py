@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
 from clausegraph.operators.lexical import attach_dictionary
+from clausegraph.operators.scale import lookup_join
 from clausegraph.session import cut_lineage
 
 
@@ -87,14 +88,14 @@ def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float
         if open_.isEmpty():
             break
         heads = open_.groupBy("token").agg(F.min("id").alias("head"))
-        state = open_.join(heads, "token")
+        state = lookup_join(open_, heads, "token")
         winners = state.groupBy("id").agg(F.min(F.col("id") == F.col("head")).alias("all_first")).where("all_first").select("id")
         winners = cut_lineage(winners)
         kept = cut_lineage(kept.unionByName(winners))
         near = F.least("n", "m") / F.greatest("n", "m") >= threshold  # size filter
         lead = state.where(F.col("id") == F.col("head")).join(winners, "id", "left_semi").select(
             "token", F.col("id").alias("a"), F.col("n").alias("m"))
-        pairs = state.where(F.col("id") > F.col("head")).join(lead, "token").where(near).select("a", F.col("id").alias("b")).distinct()
+        pairs = lookup_join(state.where(F.col("id") > F.col("head")), lead, "token").where(near).select("a", F.col("id").alias("b")).distinct()
         dropped = _similar(pairs, unique, threshold).select(F.col("b").alias("id")).distinct()
         open_ = cut_lineage(open_.join(winners.unionByName(dropped), "id", "left_anti"))
     else:

@@ -319,7 +319,7 @@ def ego_nodes(edges: DataFrame, centers: DataFrame, hops: int = 2, max_nodes: in
     fresh = bridged.join(known, ["center", "id"], "left_anti")
     room = hop1.groupBy("center").agg(F.greatest(F.lit(0), F.lit(max_nodes - 1) - F.count(F.lit(1))).alias("room"))
     ranked = top_per_key(fresh, ["center"], [F.col("bridges").desc(), F.col("id").asc()], max_nodes, "r")
-    far = ranked.join(F.broadcast(room), "center").where(F.col("r") <= F.col("room")).select(
+    far = lookup_join(ranked, room, "center").where(F.col("r") <= F.col("room")).select(
         "center", "id", F.lit(2).alias("hop"), "bridges")
     return hop0.unionByName(near).unionByName(far)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausegraph.config import Bm25
 from clausegraph.functions import text as tx
 from clausegraph.functions.exact import SCALE, fixed_sum, from_fixed, to_fixed
-from clausegraph.operators.scale import BROADCAST_ROWS, fits, salted_join, top_per_key
+from clausegraph.operators.scale import BROADCAST_ROWS, fits, salted_join, top_per_key, with_scalars
 
 UNIT_MARK = ""  # one pseudo-token per unit; carries unit counts and lengths
 
@@ -179,7 +179,7 @@ def tfidf_search(units: DataFrame, queries: DataFrame, k: int = 5, tokenizer: tx
     total = per_token.where("is_unit").select(F.col("df").alias("n_units"))
     dictionary = per_token.where("not is_unit")
     idf = F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1
-    dictionary = dictionary.crossJoin(F.broadcast(total)).select("token", "df", idf.alias("idf"))
+    dictionary = with_scalars(dictionary, total).select("token", "df", idf.alias("idf"))
     terms = query_terms(queries, tokenizer)
     known = terms.join(dictionary, "token").select(
         "query_id", "token", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))

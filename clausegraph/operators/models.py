@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
+from clausegraph.operators.scale import lookup_join, with_scalars
 
 
 def char_grams(text: Column | str) -> Column:
@@ -23,8 +24,8 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight = rows / (classes · rows of the class)``; the class table is small."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     totals = sizes.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    weights = sizes.crossJoin(F.broadcast(totals)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    weights = with_scalars(sizes, totals).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    return lookup_join(df, weights, label)
 
 
 def train_text_classifier(rows: DataFrame, text: str, label: str, features: int = 1 << 15, c: float = 2.0,

@@ -38,6 +38,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return salted_join(big, small, keys, how, salts)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a global aggregate (exactly one row) next to every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.lit(0)]), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
@@ -97,7 +102,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, position: Colum
     if keys:
         placed = lookup_join(counts, bounds, keys)
     else:
-        placed = counts.crossJoin(F.broadcast(bounds))
+        placed = with_scalars(counts, bounds)
     placed = placed.withColumn("_cell", cell)
     hist = placed.groupBy(*keys, "_cell", "_pos").agg(F.sum("_c").alias("_cc"))
     over_cells = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
