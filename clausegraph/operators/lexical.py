@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausegraph.config import Bm25
 from clausegraph.functions import text as tx
 from clausegraph.functions.exact import SCALE, fixed_sum, from_fixed, to_fixed
-from clausegraph.operators.scale import BROADCAST_ROWS, fits, salted_join, top_per_key, with_scalars
+from clausegraph.operators.scale import BROADCAST_ROWS, fan_out_partitions, fits, salted_join, top_per_key, with_scalars
 
 UNIT_MARK = ""  # one pseudo-token per unit; carries unit counts and lengths
 
@@ -66,7 +66,8 @@ def _restricted_postings(units: DataFrame, vocabulary: DataFrame, small: bool) -
     mark = vocabulary.sparkSession.range(1).select(F.lit(UNIT_MARK).alias("token"))
     wanted = vocabulary.select("token").distinct().unionByName(mark)
     kept = _join_terms(stream, wanted, ["token"], small)
-    placed = kept.select("part", "item_id", "unit_no", "dl", "token").repartition("item_id", "unit_no")
+    placed = kept.select("part", "item_id", "unit_no", "dl", "token").repartition(
+        fan_out_partitions(kept), "item_id", "unit_no")
     return placed.groupBy("part", "item_id", "unit_no", "dl", "token").agg(
         F.count(F.lit(1)).alias("tf"), F.max(F.col("token") == UNIT_MARK).alias("is_unit"))
 
@@ -141,7 +142,7 @@ def bm25_two_index_search(units: DataFrame, queries: DataFrame, gates: list[tupl
 
 def full_postings(units: DataFrame) -> DataFrame:
     """All postings.  The token arrays are shuffled once, before they are exploded."""
-    placed = units.select("item_id", "unit_no", "tokens").repartition("item_id", "unit_no")
+    placed = units.select("item_id", "unit_no", "tokens").repartition(fan_out_partitions(units), "item_id", "unit_no")
     marks = F.concat(F.array(F.lit(UNIT_MARK)), F.col("tokens"))
     return (placed.select("item_id", "unit_no", F.explode(marks).alias("token"))
             .groupBy("item_id", "unit_no", "token")

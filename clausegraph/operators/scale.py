@@ -23,6 +23,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fan_out_partitions(df: DataFrame) -> int:
+    """Partition number for a shuffle whose rows multiply afterwards.
+
+    A fixed number keeps the runtime from merging partitions by their size
+    before the fan-out; large clusters set ``spark.sql.shuffle.partitions`` to
+    fit their data and that value is kept.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner",
                 rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Join a fact side to a lookup side.
