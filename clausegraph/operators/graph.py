@@ -306,10 +306,11 @@ def ego_nodes(edges: DataFrame, centers: DataFrame, hops: int = 2, max_nodes: in
     ``max_nodes``, most bridges into the first hop first.
     """
     adj = neighbours(edges)
-    start = centers.select(F.col("id").alias("center")).distinct()
+    start = cut_lineage(centers.select(F.col("id").alias("center")).distinct())
     hop0 = start.select("center", F.col("center").alias("id"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("bridges"))
     hop1 = lookup_join(adj.withColumnRenamed("a", "center"), start, "center").where("b <> center").select(
         "center", F.col("b").alias("id"))
+    hop1 = cut_lineage(hop1)  # read five times below; far smaller than the edges
     near = hop1.select("center", "id", F.lit(1).alias("hop"), F.lit(0).cast("bigint").alias("bridges"))
     if hops < 2:
         return hop0.unionByName(near)
