@@ -308,8 +308,6 @@ def graph_hubs(spark, d):
     return gx.hubs(order_edges(spark, d))
 
 
-EGO_MAX = 120
-
 
 @register("graph_ego", f"""WITH {SQL_ORDER_EDGES}, {SQL_ADJ.format(max_nodes=2000)}
 SELECT hub.id AS center, m.id, CAST(hop AS BIGINT) AS hop, CAST(bridges AS BIGINT) AS bridges FROM members m, hub""")
