@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,13 +30,15 @@ def build_session(master: str | None = None, app: str = "clausegraph", **conf: s
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the context nor the configuration has one (local tests)
-    is a scratch folder created.
+    Only where neither the context nor the configuration has one, and the master
+    is a local one, is a scratch folder created: other machines could not read it.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clausegraph-ckpt-"))
 
 
