@@ -48,15 +48,13 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows that agree in key and text count as copies too: one of them stays (the first in the order of their other
     columns as JSON).  Such rows are counted on digests, and only they are grouped with their texts.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_sha", F.lower(F.hex(text_digest(text))))
+    rows = docs.select(F.struct("*").alias("doc"), F.lower(F.hex(text_digest(text))).alias("sha"))  # no names to clash
     kept = exact_groups(docs, key, text, support).where("kept").groupBy("doc_id", "text_sha256").agg(
-        F.count(F.lit(1)).alias("_rows"))
-    kept = kept.select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha2"), "_rows")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_sha2"))
-    joined = marked.join(kept, same)
-    once = joined.where("_rows = 1").select(*columns)
-    rest = [c for c in columns if c not in (key, text)]
-    order = Window.partitionBy(key, "_sha").orderBy(F.to_json(F.struct(F.lit(0).alias("_"), *rest)))
-    again = joined.where("_rows > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*columns)
-    return once.unionByName(again)
+        F.count(F.lit(1)).alias("copies"))
+    same = F.col("doc")[key].eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    joined = rows.join(kept, same)
+    once = joined.where("copies = 1").select("doc")
+    rest = [F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (key, text)]
+    order = Window.partitionBy("doc_id", "sha").orderBy(F.to_json(F.struct(F.lit(0).alias("c"), *rest)))
+    again = joined.where("copies > 1").withColumn("number", F.row_number().over(order)).where("number = 1").select("doc")
+    return once.unionByName(again).select("doc.*")

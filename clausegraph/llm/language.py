@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from clausegraph.llm.common import spread_rows
 
@@ -177,7 +178,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             labels, scores = classify(batch.column(place).to_pylist(), names, matrix)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], [*batch.schema.names, label, score])
 
-    schema = kept.schema.add(label, "string").add(score, "double")
+    schema = StructType([*kept.schema.fields, StructField(label, StringType()), StructField(score, DoubleType())])
     return spread_rows(kept).mapInArrow(run, schema)
 
 

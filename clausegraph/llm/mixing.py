@@ -150,23 +150,21 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
 
     Copies keep the key.  ``n_chars`` of a cut piece is counted anew if that column exists.
     """
-    columns = docs.columns
     seed = how.get("seed", 7)
-    plan = mix(docs, key, text, **how).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), "_order", F.struct("size", "whole", "lo", "hi", "lo2", "hi2").alias("_how"))
-    plan = plan.groupBy("_id", "_order").agg(F.max("_how").alias("_how")).select("_id", "_order", "_how.*")
-    part = lambda a, b: F.struct(F.col(a).alias("lo"), F.col(b).alias("hi"))
-    full = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")), F.col("whole").cast("int"))
-    plan = plan.select("_id", "_order", "size", F.filter(F.concat(full, F.array(part("lo", "hi"), part("lo2", "hi2"))), lambda p: p.hi > p.lo).alias("_parts"))
-    keyed = docs.withColumn("_o", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    plan = plan.withColumnsRenamed({"size": "_size"})
-    rows = keyed.join(plan, (F.col("_o") == F.col("_order")) & F.col(key).eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_part", F.explode("_parts"))
-    cut = (F.col("_part.lo") > 0) | (F.col("_part.hi") < F.col("_size"))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    piece = F.array_join(F.slice(words, (F.col("_part.lo") + 1).cast("int"), (F.col("_part.hi") - F.col("_part.lo")).cast("int")), "")
-    rows = rows.withColumn(text, F.when(cut, piece).otherwise(F.col(text)))
-    if n_chars and n_chars in columns:
-        kind = docs.schema[n_chars].dataType
-        rows = rows.withColumn(n_chars, F.when(cut, F.char_length(text).cast(kind)).otherwise(F.col(n_chars)))
-    return rows.select(*columns)
+    plan = mix(docs, key, text, **how).where("taken > 0")
+    plan = plan.groupBy("doc_id", "_order").agg(F.max(F.struct("size", "whole", "lo", "hi", "lo2", "hi2")).alias("how"))
+    part = lambda a, b: F.struct(F.col(f"how.{a}").alias("lo"), F.col(f"how.{b}").alias("hi"))
+    full = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("how.size").alias("hi")), F.col("how.whole").cast("int"))
+    parts = F.filter(F.concat(full, F.array(part("lo", "hi"), part("lo2", "hi2"))), lambda p: p.hi > p.lo)
+    plan = plan.select("doc_id", "_order", F.col("how.size").alias("size"), parts.alias("parts"))
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("mark"))  # no names to clash
+    rows = rows.join(plan, (F.col("mark") == F.col("_order")) & F.col("doc")[key].eqNullSafe(F.col("doc_id")))
+    rows = rows.withColumn("part", F.explode("parts"))
+    cut = (F.col("part.lo") > 0) | (F.col("part.hi") < F.col("size"))
+    words = F.regexp_extract_all(F.col("doc")[text], F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    piece = F.array_join(F.slice(words, (F.col("part.lo") + 1).cast("int"), (F.col("part.hi") - F.col("part.lo")).cast("int")), "")
+    rows = rows.withColumn("piece", F.when(cut, piece).otherwise(F.col("doc")[text]))
+    made = {text: F.col("piece")}
+    if n_chars and n_chars in docs.columns:
+        made[n_chars] = F.when(cut, F.char_length("piece").cast(docs.schema[n_chars].dataType)).otherwise(F.col("doc")[n_chars])
+    return rows.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
