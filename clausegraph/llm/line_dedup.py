@@ -143,15 +143,15 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
     ``first`` tells where a line stands first, by which its text is taken from ``texts``.  Buckets beyond ``CHUNK``
     lines are dealt out as pairs of chunks, and every bucket gives a spanning forest and not its pairs.
     """
-    keyed = nodes.select("digest", "first", F.explode("keys").alias("k"))
+    keyed = nodes.select("digest", F.explode("keys").alias("k"))
     shared = nodes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = cut_table(keyed.join(shared, "k"))
     # lines that share one band often share more: of buckets with the same members one is enough
     marks = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in range(2)]
     single = rows.groupBy("k", "n").agg(*marks).groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
     rows = cut_table(rows.join(single, "k", "left_semi"))
-    wanted = rows.select("digest", "first.doc_id", "first.row", "first.line_no").distinct().withColumnsRenamed(
-        {"doc_id": "_d", "row": "_r", "line_no": "_l", "digest": "_g"})
+    wanted = nodes.join(rows.select("digest").distinct(), "digest").select(
+        F.col("digest").alias("_g"), F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"), F.col("first.line_no").alias("_l"))
     here = (texts["row"] == F.col("_r")) & (texts["line_no"] == F.col("_l")) & texts["doc_id"].eqNullSafe(F.col("_d"))
     found = texts.join(wanted, here & (texts["digest"] == F.col("_g"))).groupBy("_g").agg(F.max("line").alias("line"))
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
