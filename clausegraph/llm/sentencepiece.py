@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from clausegraph.llm.common import spread_rows
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Codes of single characters without a piece start here, after all piece numbers.
 LOOSE = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +208,7 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Put the tokens of new words into memory."""
-        if len(self.pairs) > 8 * CACHE:
+        if len(self.pairs) > 3 * CACHE:
             self.pairs.clear()
         by_size: dict[int, list[str]] = {}
         for word in words:
@@ -234,16 +235,16 @@ class Codec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def pieces(texts: list[str | None], most: int = 1 << 23) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` characters."""
+def pieces(sizes: list[int | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
+    for i, own in enumerate(sizes):
+        size += own or 0
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -270,9 +271,9 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model_path, model)
         for whole in batches:
-            every = whole.column(1).to_pylist()
-            for at, stop in pieces(every):
-                batch, texts = whole.slice(at, stop - at), every[at:stop]
+            for at, stop in pieces(pc.binary_length(whole.column(1)).to_pylist()):
+                batch = whole.slice(at, stop - at)
+                texts = batch.column(1).to_pylist()
                 coded = codec.encode([t or "" for t in texts])
                 decoded = [None if t is None else codec.decode(ids) for t, ids in zip(texts, coded, strict=True)]
                 sizes = np.array([len(c) for c in coded], np.int32)
