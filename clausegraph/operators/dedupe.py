@@ -70,7 +70,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(jaccard >= threshold).select("a", "b")
 
 
-def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float = 0.8, size: int = 5, max_rounds: int = 1000) -> DataFrame:
+def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
     """``(id, kept)``: greedy first-come selection; an item goes when an earlier kept item is similar.
 
     Equal shingle sets collapse first.  Then rounds run over the groups of items
@@ -84,9 +84,7 @@ def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float
     groups = cut_lineage(_prefixes(unique, threshold))
     open_ = groups
     kept = unique.join(groups.select("id").distinct(), "id", "left_anti").select("id")
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # every round decides one item of each group at least
         heads = open_.groupBy("token").agg(F.min("id").alias("head"))
         state = lookup_join(open_, heads, "token")
         winners = state.groupBy("id").agg(F.min(F.col("id") == F.col("head")).alias("all_first")).where("all_first").select("id")
@@ -98,7 +96,5 @@ def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float
         pairs = lookup_join(state.where(F.col("id") > F.col("head")), lead, "token").where(near).select("a", F.col("id").alias("b")).distinct()
         dropped = _similar(pairs, unique, threshold).select(F.col("b").alias("id")).distinct()
         open_ = cut_lineage(open_.join(winners.unionByName(dropped), "id", "left_anti"))
-    else:
-        raise RuntimeError("near_dedupe did not finish; raise max_rounds")
     return items.select(F.col(key).alias("id")).join(kept.withColumn("kept", F.lit(True)), "id", "left").select(
         "id", F.coalesce("kept", F.lit(False)).alias("kept"))

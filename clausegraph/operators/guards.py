@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that recognise fires, actions, safety advice and refusals.
-FIRE_WORDS = "着火|起火|火灾|冒烟|浓烟|被困|燃烧|火势"
-ACTION_WORDS = "怎么办|怎么逃|如何|逃生|救命|现在|处理"
-SAFE_ALARM = "119|报警"
-SAFE_EVACUATE = "疏散|撤离|逃生"
-REFUSE_MARK = "超出.{0,12}(范围|知识库)|暂不回答|暂无.{0,4}(适用|条款)|无法回答|无法依据|知识库外|无法作答"
-PLACEHOLDER = "^(无|暂无|（?无可用条款）?|不适用|N/?A|-+)$"
-
-ANSWER_FIELDS = ("conclusion", "conditions", "basis", "supplement", "confidence")
+PLACEHOLDER = r"^\s*(无|未知|暂无|N/?A|不适用)\s*$"
+REFUSE_MARK = r"超出.{0,12}(范围|知识库)|暂不回答|暂无.{0,4}(适用|条款)|无法回答|知识库外|非消防主题"
+FIRE_WORDS = r"着火|起火|烧起来|烧着|冒烟|火势|被困|浓烟|呛|火灾现场|烧焦"
+ACTION_WORDS = r"怎么办|怎么做|怎么处理|如何|能.{0,8}吗|要不要|还能|紧急|救命|逃生|下楼|撤离|跑不|快烧"
+SAFE_ALARM = r"119|报警|呼救|求助"
+SAFE_EVACUATE = r"疏散|撤离|逃生|远离|离开|避开|不[^，。]{0,8}(电梯|扶梯)"
 
 
 def answer_record(conclusion: str, conditions: str, supplement: str) -> Column:

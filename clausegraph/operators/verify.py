@@ -87,7 +87,7 @@ def article_number(text: Column) -> Column:
     """Numeric article number of 第十条, 第10条 or 》28."""
     named = F.regexp_extract(text, "第\\s*([一二三四五六七八九十零两\\d]+)\\s*条", 1)
     bare = F.regexp_extract(text, "》\\s*(\\d+)", 1)
-    return F.coalesce(F.when(named != "", numeral_value(named)), F.when(bare != "", bare.cast("bigint")))
+    return F.coalesce(F.when(named != "", numeral_value(named)), F.when(bare != "", bare.try_cast("bigint")))
 
 
 def canonical_citation(law_name: Column, num: Column, text: Column) -> Column:

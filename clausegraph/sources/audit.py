@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 AUDIT_SCHEMA = """ts string, client string, question string, previous_question string, intent string, refused boolean,
   crag string, strategy string, articles array<string>, latency_ms bigint, cached boolean"""
@@ -34,10 +33,11 @@ def clean_day(day: str) -> str:
 
 def read_day(spark: SparkSession, path: str, day: str, schema: str = AUDIT_SCHEMA) -> DataFrame:
     """Rows of one day; malformed lines are skipped, a missing day is empty."""
-    try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path}/day={clean_day(day)}")
-    except AnalysisException:
+    folder = f"{path}/day={clean_day(day)}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
 def list_days(logs: DataFrame, limit: int = 31) -> DataFrame:

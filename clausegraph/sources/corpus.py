@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,20 +25,41 @@ SKIP_LINE = "^(>|---|# |<!--|（\\d{4}年|\\(\\d{4}年)"
 TIGHT_ENDS = "：，；、"
 
 
+def split_paths(spark: SparkSession, paths: list[str] | str) -> tuple[list[str], list[str]]:
+    """Paths and globs that hold something, and those that do not, as the file system of each tells."""
+    found, absent = [], []
+    for path in [paths] if isinstance(paths, str) else paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hits = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+        (found if hits else absent).append(path)
+    return found, absent
+
+
+def _scan_laws(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    found, _ = split_paths(spark, paths)
+    schema = f"{LAW_SCHEMA}, _corrupt_record string"
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("path", F.lit(""))
+    return spark.read.schema(schema).option("multiLine", True).json(found).withColumn("path", F.input_file_name())
+
+
 def read_laws(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Law documents with defaults; catalogue entries that do not exist are skipped."""
-    if isinstance(paths, list):
-        paths = [p for p in paths if "://" in p or os.path.exists(p)]
-        if not paths:
-            return spark.createDataFrame([], LAW_SCHEMA)
-    laws = spark.read.schema(LAW_SCHEMA).option("multiLine", True).option("ignoreCorruptFiles", True).json(paths)
+    """Law documents with defaults.  Catalogue entries that do not exist are skipped (``split_paths`` names them);
+    files without chapters or with broken JSON are left to ``rejected_laws``."""
+    laws = _scan_laws(spark, paths)
     blank = F.lit("")
     status = F.trim(F.coalesce("status", blank))
-    return laws.where(F.col("chapters").isNotNull()).withColumns({
+    return laws.where(F.col("chapters").isNotNull()).drop("_corrupt_record", "path").withColumns({
         "law_name": F.coalesce("law_name", "law_abbr"), "status": F.when(status == "", IN_FORCE).otherwise(status),
         **{c: F.coalesce(c, blank) for c in ("notes", "issued_date", "effective_date", "document_no", "authority", "source_url")}})
 
 
+def rejected_laws(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``(path, law_abbr, record)`` of the files that ``read_laws`` cannot use."""
+    laws = _scan_laws(spark, paths).where(F.col("chapters").isNull())
+    return laws.select("path", "law_abbr", F.col("_corrupt_record").alias("record"))
+
+
 def source_catalog(laws: DataFrame) -> DataFrame:
     return laws.select("law_abbr", "law_name", "authority", "effective_date", "source_url")
 
