@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.common import components, cut_table, spread_rows
+from clausegraph.llm.sentencepiece import pieces
 from clausegraph.llm.simhash import UnionFind
 from clausegraph.session import cut_lineage
 
@@ -113,15 +115,19 @@ def similar(a: set, b: set, threshold: float = THRESHOLD) -> bool:
     return common >= threshold * (small + large - common)
 
 
-def bucket_forest(texts: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Links that connect all lines of a bucket which similar pairs connect.
+def shingle_sets(texts: list[str]) -> list[frozenset]:
+    """The shingles of every line, hashed for all lines at once."""
+    hashes, owner = shingle_hashes(texts)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    return [frozenset(hashes[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def bucket_forest(sets: list[frozenset], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links that connect all lines of a bucket which similar pairs connect, by their shingle sets.
 
     Each line is compared with the lines of every group found so far until one is similar, newest groups last; lines
     of one group are not compared again.
     """
-    hashes, owner = shingle_hashes(texts)
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    sets = [frozenset(hashes[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     groups: list[list[int]] = []
     links = []
     for i, own in enumerate(sets):
@@ -163,7 +169,7 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = UnionFind()
         now: tuple | None = None
-        bucket: list[tuple[bytes, str]] = []
+        bucket: list[tuple[bytes, frozenset]] = []
 
         def close() -> None:
             if len(bucket) > 1:
@@ -176,11 +182,15 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for k, t, digest, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (k, t) != now:
-                    close()
-                    bucket, now = [], (k, t)
-                bucket.append((digest, line))
+            for at, stop in pieces(pc.binary_length(batch.column(3)).to_pylist(), 1 << 20):
+                k, t, digest, line = (batch.column(i).slice(at, stop - at).to_pylist() for i in range(4))
+                fresh = dict(zip(digest, line, strict=True))  # a line stands in several buckets
+                sets = dict(zip(fresh, shingle_sets(list(fresh.values())), strict=True))
+                for place, own in zip(zip(k, t, strict=True), digest, strict=True):
+                    if place != now:
+                        close()
+                        bucket, now = [], place
+                    bucket.append((own, sets[own]))
             yield out()
         close()
         yield out()
