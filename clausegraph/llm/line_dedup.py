@@ -24,6 +24,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 #: Lines of one bucket that are compared in one piece.
 CHUNK = 256
+#: Lines that a task remembers as passed on; more only costs repeated rows.
+SEEN = 200_000
 _EMPTY = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,6 +34,10 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def line_digest(line: str) -> bytes:
+    return hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines, and the line of each; a shorter line is one shingle."""
     padded = "".join(line.ljust(SHINGLE, "\0") for line in lines)
@@ -70,9 +76,35 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return keys * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keys: bool = True) -> DataFrame:
-    """``(doc_id, row, line_no, digest)`` of all lines that are not blank, with ``keys`` of their buckets or their
-    normalised ``line``."""
+def line_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(digest, line)``: the normalised lines that are not blank, a repeated one about once a task.
+
+    A task remembers the digests of up to ``SEEN`` lines, so a line of a third of all rows costs one row a task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            fresh: dict[bytes, str] = {}
+            size = 0
+            for whole in batch.column(0):
+                for line in map(normalise, (whole.as_py() or "").split("\n")):
+                    digest = line_digest(line)
+                    if line and digest not in seen:
+                        seen.add(digest)
+                        fresh[digest] = line
+                        size += len(line)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.string())], ["digest", "line"])
+                    fresh, size = {}, 0
+                if len(seen) > SEEN:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.string())], ["digest", "line"])
+
+    return spread_rows(docs.select(F.col(text).cast("string").alias("text"))).mapInArrow(run, "digest binary, line string")
+
+
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, row, line_no, digest, keys)`` of all lines that are not blank, with the ``keys`` of their buckets."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +125,15 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keys: bool =
                 if not found:
                     continue
                 take = pa.array(owner)
-                digest = pa.array([hashlib.md5(line.encode("utf-8", "surrogatepass")).digest() for line in found], pa.binary())
-                last = pa.array(found, pa.string())
-                if keys:
-                    flat = band_keys(found).view(np.int64)
-                    last = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
+                digest = pa.array(list(map(line_digest, found)), pa.binary())
+                flat = band_keys(found).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).take(take), whole.column(1).take(take), pa.array(number, pa.int32()), digest, last],
-                    ["doc_id", "row", "line_no", "digest", "keys" if keys else "line"])
+                    [whole.column(0).take(take), whole.column(1).take(take), pa.array(number, pa.int32()), digest, keys],
+                    ["doc_id", "row", "line_no", "digest", "keys"])
 
     slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).cast("string").alias("text"))
-    return spread_rows(slim).mapInArrow(run, f"doc_id {kind}, row long, line_no int, digest binary, {'keys array<long>' if keys else 'line string'}")
+    return spread_rows(slim).mapInArrow(run, f"doc_id {kind}, row long, line_no int, digest binary, keys array<long>")
 
 
 def similar(a: set, b: set, threshold: float = THRESHOLD) -> bool:
@@ -144,10 +174,10 @@ def bucket_forest(sets: list[frozenset], threshold: float = THRESHOLD) -> list[t
 
 
 def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges ``(a, b)`` between digests of similar lines, from ``nodes(digest, first, keys)`` of distinct lines.
+    """Edges ``(a, b)`` between digests of similar lines, from ``nodes(digest, keys)`` of distinct lines.
 
-    ``first`` tells where a line stands first, by which its text is taken from ``texts``.  Buckets beyond ``CHUNK``
-    lines are dealt out as pairs of chunks, and every bucket gives a spanning forest and not its pairs.
+    Their text is taken from ``texts(digest, line)``, which may repeat.  Buckets beyond ``CHUNK`` lines are dealt out
+    as pairs of chunks, and every bucket gives a spanning forest and not its pairs.
     """
     keyed = nodes.select("digest", F.explode("keys").alias("k"))
     shared = nodes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -156,10 +186,8 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
     marks = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in range(2)]
     single = rows.groupBy("k", "n").agg(*marks).groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
     rows = cut_table(rows.join(single, "k", "left_semi"))
-    wanted = nodes.join(rows.select("digest").distinct(), "digest").select(
-        F.col("digest").alias("_g"), F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"), F.col("first.line_no").alias("_l"))
-    here = (texts["row"] == F.col("_r")) & (texts["line_no"] == F.col("_l")) & texts["doc_id"].eqNullSafe(F.col("_d"))
-    found = texts.join(wanted, here & (texts["digest"] == F.col("_g"))).groupBy("_g").agg(F.max("line").alias("line"))
+    wanted = rows.select(F.col("digest").alias("_g")).distinct()
+    found = texts.join(wanted, texts["digest"] == F.col("_g")).groupBy("_g").agg(F.max("line").alias("line"))
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
     tiles = rows.select("k", "digest", chunks.alias("m"), F.pmod(F.xxhash64("digest"), chunks).alias("c"))
     tiles = tiles.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
@@ -211,7 +239,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     found = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no", "keys")  # equal lines, equal keys
     nodes = cut_table(every.groupBy("digest").agg(F.min(found).alias("found")).select(
         "digest", F.struct(*[f"found.{c}" for c in ("none", "doc_id", "row", "line_no")]).alias("first"), "found.keys"))
-    edges = similar_lines(nodes, lines(docs, key, text, keys=False), threshold)
+    edges = similar_lines(nodes, line_texts(docs, text), threshold)
     linked = components(edges)
     member = nodes.join(linked.withColumnRenamed("node", "digest"), "digest").select("digest", "component", "first")
     best = member.groupBy("component").agg(F.min("first").alias("best"))
