@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Field names, defaults and confidence levels of an answer record.
-FIELDS = ("conclusion", "conditions", "basis", "supplement", "confidence")
+# Defaults, confidence levels and the note of an answer record.
 DEFAULTS = {"conditions": "无特殊限制", "supplement": "无", "confidence": "medium"}
 LEVELS = ("high", "medium", "low")
-ANSWER_SCHEMA = "conclusion string, conditions string, basis array<string>, supplement string, confidence string"
+EXCERPT = "（输出未通过 JSON 校验，已降级为原文摘录）"
 
 _CLOSERS = {"{": "}", "[": "]"}
 
@@ -126,6 +125,6 @@ def normalize_fields(json_text: Column, refuse_text: str) -> Column:
 def with_repaired(df: DataFrame, text: str, refuse_text: str) -> DataFrame:
     """Adds ``how`` and the normalised ``structured`` record; unrepairable text becomes a low-confidence excerpt."""
     out = df.withColumn("_r", repair_json(F.col(text)))
-    low = F.to_json(F.struct(F.left(F.trim(text), F.lit(200)).alias("conclusion"), F.lit("low").alias("confidence")))
+    low = F.to_json(F.struct(F.left(F.trim(text), F.lit(200)).alias("conclusion"), F.lit(EXCERPT).alias("supplement"), F.lit("low").alias("confidence")))
     return out.withColumn("how", F.col("_r.how")).withColumn(
         "structured", normalize_fields(F.coalesce(F.col("_r.json"), low), refuse_text)).drop("_r")

@@ -25,8 +25,9 @@ def exact_dedupe(items: DataFrame, key: str, order: str, text: str = "text", dig
 def corpus_fingerprint(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row that changes with any change of the corpus, independent of row order."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), text))
-    low, high = (F.conv(F.substring(digest, i, 8), 16, 10).cast("bigint") for i in (1, 9))
-    return items.agg(F.count(F.lit(1)).alias("n"), F.sum(low).alias("a"), F.sum(high).alias("b"))
+    low, high = (F.conv(F.substring(digest, i, 8), 16, 10).cast("decimal(10,0)") for i in (1, 9))
+    total = {name: F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string") for name, part in (("a", low), ("b", high))}
+    return items.agg(F.count(F.lit(1)).alias("n"), total["a"].alias("a"), total["b"].alias("b"))
 
 
 def shingle_sets(items: DataFrame, key: str, text: str = "text", size: int = 5) -> DataFrame:

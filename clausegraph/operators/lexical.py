@@ -154,14 +154,15 @@ def attach_dictionary(postings: DataFrame, dictionary: DataFrame, hot_df: int =
     """Join postings to their token statistics.
 
     A small dictionary is broadcast.  A large one is split: tokens with more
-    than ``hot_df`` postings are few by construction and join by broadcast, the
-    rest has no heavy key left and joins by shuffle.
+    than ``hot_df`` postings join by broadcast, the rest has no heavy key left
+    and joins by shuffle.  ``hot_df`` is raised until the heavy ones fit.
     """
     if fits(dictionary, rows):
         return postings.join(F.broadcast(dictionary), "token")
     hot = dictionary.where(F.col("df") > hot_df)
-    if not fits(hot, rows):
-        raise ValueError("raise hot_df: too many heavy tokens to broadcast")
+    while not fits(hot, rows):
+        hot_df = 4 * max(hot_df, 1)
+        hot = dictionary.where(F.col("df") > hot_df)
     cold = dictionary.where(F.col("df") <= hot_df)
     warm = postings.join(F.broadcast(hot), "token")
     rest = postings.join(F.broadcast(hot.select("token")), "token", "left_anti").join(cold, "token")

@@ -18,7 +18,6 @@ PENALTY_TEXT = ["罚款", "拘留", "责令改正", "责令停产停业", "处
 UNIT_PENALTY = "对单位|单位处|单位.{0,6}(?:罚款|处罚)"
 PERSON_PENALTY = "对个人|个人处|个人.{0,6}(?:罚款|处罚)"
 UNIT_WORD, PERSON_WORD, HIGH_RISE = "单位", "个人", "高层"
-ARTICLE_NUMBER = "(第\\s*[一二三四五六七八九十零两\\d]+\\s*条|》\\s*\\d+)"
 NUMBER = "\\d+(?:\\.\\d+)?"
 
 
@@ -26,11 +25,12 @@ def cited_articles(answers: DataFrame, known: DataFrame, aliases: DataFrame) ->
     """``(answer_id, item_id)``: number and law alias on the same line of the answer.
 
     ``known(item_id, law, num)``, ``aliases(law, alias)``.  The number must not
-    continue with a further numeral, so 第六条 does not match 第六十条.
+    continue with a further numeral, so 第六条 does not match 第六十条; numbers like
+    3.1 or 3.1.2 count too, and 3.1 does not match 3.10 or 3.1.2.
     """
     lines = answers.select("answer_id", F.explode(F.split("answer", "\\n")).alias("line")).withColumn(
-        "line", F.replace("line", F.lit(" "), F.lit(""))).where(tx.contains_any("line", ["《", "条"]))
-    pattern = "(第[一二三四五六七八九十百零\\d]+条(?:之[一二三四五六七八九十])?)"
+        "line", F.replace("line", F.lit(" "), F.lit(""))).where(tx.contains_any("line", ["《", "条"]) | F.col("line").rlike(r"\d\.\d"))
+    pattern = "(第[一二三四五六七八九十百零\\d]+条(?:之[一二三四五六七八九十])?|(?<![\\d.])\\d+(?:\\.\\d+){1,2}(?!\\.?\\d))"
     numbered = lines.select("answer_id", "line", F.explode(F.array_distinct(
         F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))).alias("num"))
     keyed = numbered.join(known.select("item_id", "law", "num"), "num")

@@ -85,14 +85,14 @@ def set_compare(spark, d):
 
 
 @register("gold_drift", f"""WITH {SQL_QUOTED},
-g AS (SELECT query_id, item_id FROM quoted UNION SELECT item_id, item_id + 1000000000 FROM benchmark WHERE item_id IN (SELECT query_id FROM quoted)),
+g AS (SELECT query_id, item_id FROM quoted UNION SELECT item_id, -1 - item_id FROM benchmark WHERE item_id IN (SELECT query_id FROM quoted)),
 p AS (SELECT item_id AS case_id, text AS phrase FROM benchmark UNION ALL SELECT item_id, text || '!' FROM benchmark)
 SELECT query_id AS case_id, 'missing_item' AS kind, item_id::VARCHAR AS detail FROM g WHERE item_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT case_id, 'missing_phrase', phrase FROM p JOIN g ON g.query_id = case_id LEFT JOIN documents d ON d.doc_id = g.item_id
 GROUP BY case_id, phrase HAVING NOT max(coalesce(contains(d.text, phrase), false))""")
 def gold_drift(spark, d):
     quoted = quoted_items(spark, d).select(F.col("query_id").alias("case_id"), "item_id").distinct()
-    gone = quoted.select("case_id").distinct().withColumn("item_id", F.col("case_id") + 1000000000)
+    gone = quoted.select("case_id").distinct().withColumn("item_id", -1 - F.col("case_id"))
     bench = questions(spark, d).select(F.col("query_id").alias("case_id"), F.explode(F.array("text", F.concat("text", F.lit("!")))).alias("phrase"))
     items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return ev.gold_drift(quoted.unionByName(gone), items, bench)
@@ -129,7 +129,7 @@ def exact_dedupe(spark, d):
 
 
 @register("corpus_fingerprint", """WITH h AS (SELECT md5(doc_id::VARCHAR || ':' || text) AS m FROM documents)
-SELECT count(*) AS n, CAST(sum(('0x' || substr(m, 1, 8))::BIGINT) AS BIGINT) AS a, CAST(sum(('0x' || substr(m, 9, 8))::BIGINT) AS BIGINT) AS b FROM h""")
+SELECT count(*) AS n, CAST(sum(('0x' || substr(m, 1, 8))::BIGINT) AS VARCHAR) AS a, CAST(sum(('0x' || substr(m, 9, 8))::BIGINT) AS VARCHAR) AS b FROM h""")
 def corpus_fingerprint(spark, d):
     return dedupe.corpus_fingerprint(spread_table(spark, d, "documents"), "doc_id")
 

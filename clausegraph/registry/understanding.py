@@ -185,14 +185,18 @@ def _spell(c):
     return F.concat(*out)
 
 
-@register("cn_numerals", """SELECT p_partkey, CAST(p_partkey % 10000 AS BIGINT) AS plain,
-  CAST((p_partkey % 10000) * 10000 + p_size AS BIGINT) AS big FROM part WHERE p_partkey % 10000 > 0""")
+def _spell_whole(c):
+    """Spelling of any number; digits from 100,000,000 on, for which there is no character."""
+    myriads = F.floor(c / 10000)
+    spelled = F.concat(F.when(myriads > 0, F.concat(_spell(myriads), F.lit("万"))).otherwise(""), _spell(c % 10000))
+    return F.when(c == 0, "零").when(c >= 100_000_000, c.cast("string")).otherwise(spelled)
+
+
+@register("cn_numerals", """SELECT p_partkey, CAST(p_partkey AS BIGINT) AS plain, CAST(p_size * 10000 + p_partkey % 10000 AS BIGINT) AS big FROM part""")
 def cn_numerals(spark, d):
-    key = F.col("p_partkey") % 10000
-    part = table(spark, d, "part").where(key > 0)
-    small = _spell(key)
-    return part.select("p_partkey", numerals.numeral_value(small).alias("plain"),
-                       numerals.numeral_value(F.concat(small, F.lit("万"), _spell(F.col("p_size")))).alias("big"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", numerals.numeral_value(_spell_whole(key)).alias("plain"),
+                                          numerals.numeral_value(_spell_whole(size * 10000 + key % 10000)).alias("big"))
 
 
 @register("fine_ranges", """SELECT o_orderkey, CAST(least(a, b) AS BIGINT) AS low, CAST(CASE WHEN b < a THEN a ELSE b END AS BIGINT) AS high

@@ -84,11 +84,6 @@ def chunks(articles_: DataFrame, delimiters: str = tx.CJK_DELIMITERS) -> DataFra
         "chunk_level": F.lit("sentence")})
 
 
-def _flags(lines: DataFrame, key: str) -> DataFrame:
-    head, art = F.regexp_extract("line", CHAPTER_HEAD, 1), F.regexp_extract("line", ARTICLE_HEAD, 1)
-    return lines.withColumns({"chapter_head": head, "article_head": art, "tail": F.regexp_extract("line", ARTICLE_HEAD, 2)})
-
-
 def join_lines(parts: Column) -> Column:
     """Continuation lines: no blank after ：，；、, one blank elsewhere."""
     def step(acc, part):

@@ -41,3 +41,35 @@ def test_a_question_about_hazards_is_no_emergency(spark):
     q = spark.createDataFrame([("火灾隐患如何处理",), ("厨房着火怎么办",)], "q string")
     urgent = [r[0] for r in q.select(F.col("q").rlike(guards.FIRE_WORDS) & F.col("q").rlike(guards.ACTION_WORDS)).collect()]
     assert urgent == [False, True]
+
+
+def test_heavy_tokens_beyond_the_bound_raise_the_limit(spark):
+    from clausegraph.operators.lexical import attach_dictionary
+
+    postings = spark.createDataFrame([(i % 3, f"t{i % 3}") for i in range(9)], "item_id long, token string")
+    dictionary = spark.createDataFrame([("t0", 2), ("t1", 3), ("t2", 5)], "token string, df long")
+    joined = attach_dictionary(postings, dictionary, hot_df=1, rows=1)
+    assert sorted((r["token"], r["df"]) for r in joined.collect()) == [("t0", 2)] * 3 + [("t1", 3)] * 3 + [("t2", 5)] * 3
+
+
+def test_decimal_article_numbers_are_cited(spark):
+    from clausegraph.operators.verify import cited_articles
+
+    answers = spark.createDataFrame([(1, "依据《充电规范》3.1 处理"), (2, "依据《充电规范》3.10处理"), (3, "依据《充电规范》3.1.2处理"),
+                                     (4, "依据《别的规范》3.1处理")], "answer_id long, answer string")
+    known = spark.createDataFrame([("a", "充电规范", "3.1"), ("b", "充电规范", "3.1.2")], "item_id string, law string, num string")
+    aliases = spark.createDataFrame([("充电规范", "充电规范")], "law string, alias string")
+    assert {tuple(r) for r in cited_articles(answers, known, aliases).collect()} == {(1, "a"), (3, "b")}
+
+
+def test_a_mode_builds_its_own_channels_only(spark):
+    from clausegraph.packs import demo
+    from clausegraph.plans import retrieve as plan
+
+    items = spark.createDataFrame([(1, "l", "t", "red fox. blue sea", False), (2, "l", "t", "green hill", False)],
+                                  "item_id long, law string, title string, text string, is_draft boolean")
+    units = spark.createDataFrame([(1, "l", 0, "red fox"), (1, "l", 1, "blue sea"), (2, "l", 0, "green hill")],
+                                  "item_id long, law string, unit_no int, unit string")
+    questions = spark.createDataFrame([(7, "red fox")], "query_id long, text string")
+    found = plan.retrieve(plan.KnowledgeBase(items, units, None, None, demo.GRAPH), questions, mode="bm25")  # no graph at all
+    assert [(r["query_id"], r["item_id"]) for r in found.collect()] == [(7, 1)]
