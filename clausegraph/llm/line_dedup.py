@@ -16,7 +16,7 @@ from clausegraph.llm.sentencepiece import pieces
 from clausegraph.llm.simhash import UnionFind
 from clausegraph.session import cut_lineage
 
-#: Characters of a shingle.
+#: Characters of a shingle, a power of two.
 SHINGLE = 8
 #: Lines at or above this Jaccard similarity of their shingle sets are copies.
 THRESHOLD = 0.8
@@ -44,14 +44,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([max(len(line), SHINGLE) for line in lines])
     owner = np.repeat(np.arange(len(lines)), sizes)
-    count = max(len(codes) - SHINGLE + 1, 0)
-    hashes = np.zeros(count, np.uint64)
-    for place in range(SHINGLE):
-        hashes *= np.uint64(0x100000001B3)
-        hashes += codes[place: place + count]
+    hashes, width = codes, 1
+    while width < SHINGLE:  # two hashes of neighbouring characters give that of twice as many
+        hashes = hashes[:-width] * _MIX + hashes[width:]
         hashes ^= hashes >> np.uint64(29)
+        width *= 2
     hashes *= _MIX
     hashes ^= hashes >> np.uint64(32)
+    count = len(hashes)
     whole = owner[:count] == owner[SHINGLE - 1:]
     return hashes[whole], owner[:count][whole]
 
@@ -112,22 +112,24 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             texts = whole.column(2).to_pylist()
             at = 0
             while at < len(texts):
-                found: list[str] = []
+                found: dict[str, int] = {}  # a repeated line is hashed once
+                which: list[int] = []
                 number: list[int] = []
                 owner: list[int] = []
-                while at < len(texts) and len(found) < 4096:
+                while at < len(texts) and len(which) < 512:
                     for no, line in enumerate((texts[at] or "").split("\n")):
                         if line := normalise(line):
-                            found.append(line)
+                            which.append(found.setdefault(line, len(found)))
                             number.append(no)
                             owner.append(at)
                     at += 1
                 if not found:
                     continue
                 take = pa.array(owner)
-                digest = pa.array(list(map(line_digest, found)), pa.binary())
-                flat = band_keys(found).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
+                distinct = list(found)
+                digest = pa.array(list(map(line_digest, distinct)), pa.binary()).take(pa.array(which))
+                flat = band_keys(distinct).view(np.int64)[which]
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [whole.column(0).take(take), whole.column(1).take(take), pa.array(number, pa.int32()), digest, keys],
                     ["doc_id", "row", "line_no", "digest", "keys"])
@@ -136,23 +138,30 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return spread_rows(slim).mapInArrow(run, f"doc_id {kind}, row long, line_no int, digest binary, keys array<long>")
 
 
-def similar(a: set, b: set, threshold: float = THRESHOLD) -> bool:
-    """Jaccard similarity at or above the threshold; the sizes decide first."""
+def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Jaccard similarity of two sorted shingle sets at or above the threshold; the sizes decide first."""
     small, large = sorted((len(a), len(b)))
     if small < threshold * large:
         return False
-    common = len(a & b)
-    return common >= threshold * (small + large - common)
+    both = np.concatenate((a, b))
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return bool(common >= threshold * (small + large - common))
 
 
-def shingle_sets(texts: list[str]) -> list[frozenset]:
-    """The shingles of every line, hashed for all lines at once."""
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of every line, sorted, hashed for all lines at once."""
     hashes, owner = shingle_hashes(texts)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-    return [frozenset(hashes[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        hashes[a:b].sort()
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[fresh], owner[fresh]
+    return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))[: len(texts)]
 
 
-def bucket_forest(sets: list[frozenset], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+def bucket_forest(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Links that connect all lines of a bucket which similar pairs connect, by their shingle sets.
 
     Each line is compared with the lines of every group found so far until one is similar, newest groups last; lines
@@ -197,7 +206,7 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = UnionFind()
         now: tuple | None = None
-        bucket: list[tuple[bytes, frozenset]] = []
+        bucket: list[tuple[bytes, np.ndarray]] = []
 
         def close() -> None:
             if len(bucket) > 1:
