@@ -106,11 +106,3 @@ def contains_any(text: Column | str, needles) -> Column:
     for needle in needles:
         test = test | F.contains(c, F.lit(needle))
     return test
-
-
-def law_of(article: Column | str) -> Column:
-    return F.substring_index(_col(article), "·", 1)
-
-
-def strip_law_key(article: Column | str) -> Column:
-    return F.substring_index(_col(article), "·", -1)

@@ -102,15 +102,16 @@ def compare_sets(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(key, status.alias("status"))
 
 
-def gold_drift(gold: DataFrame, items: DataFrame, phrases: DataFrame) -> DataFrame:
+def gold_drift(gold: DataFrame, items: DataFrame, phrases: DataFrame, skipped: tuple[str, ...] = ("", "119")) -> DataFrame:
     """Gold items that no longer exist and must-phrases missing from the gold text.
 
     ``gold(case_id, item_id)``, ``items(item_id, text)``, ``phrases(case_id, phrase)``.
-    A phrase is fine when any gold item of its case contains it.
+    A phrase is fine when any gold item of its case contains it; ``skipped`` ones are no
+    quotations of a text.
     """
     missing = gold.join(items.select("item_id"), "item_id", "left_anti").select(
         "case_id", F.lit("missing_item").alias("kind"), F.col("item_id").cast("string").alias("detail"))
-    pairs = phrases.join(gold, "case_id").join(items, "item_id", "left")
+    pairs = phrases.where(~F.col("phrase").isin(*skipped)).join(gold, "case_id").join(items, "item_id", "left")
     covered = pairs.groupBy("case_id", "phrase").agg(
         F.max(F.coalesce(F.contains("text", F.col("phrase")), F.lit(False))).alias("ok"))
     lost = covered.where(~F.col("ok")).select("case_id", F.lit("missing_phrase").alias("kind"), F.col("phrase").alias("detail"))
