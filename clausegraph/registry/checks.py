@@ -151,3 +151,39 @@ def render_answer(spark, d):
     level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("event_id") % 3).cast("int") + 1)
     body = answer.render(F.col("event_type"), F.concat(F.lit("user "), user), F.array("event_type", user), F.coalesce("props", F.lit("")), level)
     return table(spark, d, "events").select("event_id", body.alias("body"))
+
+
+@register("outside_titles", """WITH t AS (SELECT p_partkey AS query_id, p_name || ' rules' AS title, CASE WHEN p_size % 10 = 0 THEN 'GB' || (1000 + p_size) END AS standard FROM part),
+k AS (SELECT DISTINCT p_name || ' rules' AS name FROM part WHERE p_size = 7 AND p_brand = 'Brand#2'),
+n AS (SELECT query_id, coalesce(CASE WHEN length(title) BETWEEN 4 AND 30 AND NOT EXISTS (SELECT 1 FROM k WHERE contains(name, title) OR contains(title, name))
+  THEN title END, standard) AS named FROM t)
+SELECT * FROM n WHERE named IS NOT NULL""")
+def outside_titles(spark, d):
+    part = table(spark, d, "part").withColumn("title", F.concat("p_name", F.lit(" rules")))
+    size = (F.col("p_size") + 1000).cast("string")
+    text = F.concat(F.lit("参照《"), "title", F.lit("》"), F.when(F.col("p_size") % 10 == 0, F.concat(F.lit(" GB "), size)).otherwise(""))
+    known = part.where("p_size = 7 AND p_brand = 'Brand#2'").select(F.col("title").alias("name"))
+    return un.outside_titles(part.select(F.col("p_partkey").alias("query_id"), text.alias("text")), known, [])
+
+
+_MERGED = ", ".join(f"array_to_string(list_concat(c.{a}, list_filter(p.{a}, lambda x: NOT list_contains(c.{a}, x))), ',') AS {a}" for a in un.SCENE_ARRAYS)
+
+
+@register("scene_merge", f"""WITH s AS (SELECT conv_id, turn, {_SCENE_COLS} FROM conversations)
+SELECT c.conv_id, c.turn, {_MERGED} FROM s c JOIN s p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1""")
+def scene_merge(spark, d):
+    found = un.scene(turns(spark, d), SCENE).select("conv_id", "turn", *un.SCENE_ARRAYS)
+    before = found.select("conv_id", (F.col("turn") + 1).alias("turn"), *[F.col(a).alias(f"prev_{a}") for a in un.SCENE_ARRAYS])
+    merged = un.merge_scenes(found.join(before, ["conv_id", "turn"]))
+    return merged.select("conv_id", "turn", *[F.array_join(a, ",").alias(a) for a in un.SCENE_ARRAYS])
+
+
+_ONE, _TWO = SCENE.clarify["channel_type"], SCENE.clarify["subject"]
+
+
+@register("clarify_text", f"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN '{SCENE.clarify_many}{_ONE} {_TWO}'
+  WHEN p_size % 2 = 0 THEN '{SCENE.clarify_one}{_ONE}' WHEN p_size % 3 = 0 THEN '{SCENE.clarify_one}{_TWO}' END AS question FROM part""")
+def clarify_text(spark, d):
+    missing = F.array(F.when(F.col("p_size") % 2 == 0, "channel_type"), F.when(F.col("p_size") % 3 == 0, "subject"))
+    rows = table(spark, d, "part").select("p_partkey", F.filter(missing, lambda m: m.isNotNull()).alias("ambiguity"))
+    return rows.select("p_partkey", un.clarify(SCENE).alias("question"))
