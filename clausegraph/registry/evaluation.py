@@ -222,7 +222,11 @@ def rate_limit_range(spark, d):
     return counted.select("event_id", "n_trailing", (F.col("n_trailing") <= 2).alias("accepted"))
 
 
-@register("rate_limit_exact")
+@register("rate_limit_exact", """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS accepted, [ts] AS taken FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(open) < 2, CASE WHEN len(open) < 2 THEN list_append(open, ts) ELSE open END
+  FROM (SELECT e.*, list_filter(r.taken, lambda t: e.ts - t < INTERVAL 86400 SECONDS) AS open FROM e JOIN r ON r.user_id = e.user_id AND e.n = r.n + 1) s)
+SELECT user_id, event_id, accepted FROM r""")
 def rate_limit_exact(spark, d):
     return limits.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", limit=2, seconds=86400).select(
         "user_id", "event_id", "accepted")
