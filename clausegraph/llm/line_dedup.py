@@ -42,7 +42,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines, and the line of each; a shorter line is one shingle."""
     padded = "".join(line.ljust(SHINGLE, "\0") for line in lines)
     codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([max(len(line), SHINGLE) for line in lines])
+    sizes = np.array([max(len(line), SHINGLE) for line in lines], np.int64)
     owner = np.repeat(np.arange(len(lines)), sizes)
     hashes, width = codes, 1
     while width < SHINGLE:  # two hashes of neighbouring characters give that of twice as many
