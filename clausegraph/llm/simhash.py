@@ -250,12 +250,3 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     classes = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their near-duplicate class, with all columns.
-
-    Rows without a key are kept.
-    """
-    dropped = near_groups(docs, key, text, **how).where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, key, "left_anti")
