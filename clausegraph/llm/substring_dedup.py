@@ -1,4 +1,4 @@
-"""Repeated passages: sentences are hashed, grouped over the whole corpus, and later occurrences removed."""
+"""Repeated passages: runs of more than 50 words that occur before in the corpus, found by winnowed seeds and exact word windows."""
 
 from __future__ import annotations
 
@@ -8,73 +8,166 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import spread_rows
+from clausegraph.llm.common import cut_table, spread_rows
+
+#: Words of a passage at least.
+MIN_WORDS = 51
+WORD = re.compile(r"\S+")
+#: Multipliers of the two parts (64 and 32 bits) of a window's hash; seeds use the first.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def gram_hashes(words: np.ndarray, size: int, factor: int = FACTORS[0]) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` words, by differences of running sums."""
+    count = len(words) - size + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    up = np.multiply.accumulate(np.full(len(words), factor, np.uint64))
+    down = np.multiply.accumulate(np.full(count, pow(factor, -1, 1 << 64), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)))
+    hashes = (sums[size:] - sums[:-size]) * down
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= np.uint64(FACTORS[0])
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def seeds_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all seeds (runs of about half of ``min_words`` words), and of every window of ``min_words`` words the
+    place of its smallest seed.  Equal windows have equal smallest seeds, at the same place in them."""
+    size = min_words // 2 + 1
+    grams = gram_hashes(words, size)
+    return grams, _smallest(grams, min_words - size + 1)
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest value in every run of ``width`` values."""
+    count = len(values) - width + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    out = np.empty(count, np.int64)
+    for at in range(0, count, 1 << 14):
+        part = np.lib.stride_tricks.sliding_window_view(values[at: at + (1 << 14) + width - 1], width)
+        out[at: at + len(part)] = part.argmin(1) + np.arange(at, at + len(part))
+    return out
 
-#: Units are lines, cut further at sentence ends, so that a passage is found wherever it stands in a line.
-UNIT = re.compile(r"[^\n.!?]*[^\s.!?][^\n.!?]*[.!?]*")
-#: Words of a run of repeated units that make it a passage.  A passage of 50 words that starts and ends within
-#: sentences keeps at least about this many in whole sentences.
-MIN_WORDS = 25
 
+def slim_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).cast("string").alias("text"))
 
-def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, 128-bit digest) of every unit; the digest is of the words in lower case."""
-    out = []
-    for found in UNIT.finditer(text):
-        words = found.group().lower().split()
-        if words:
-            start = found.start() + len(found.group()) - len(found.group().lstrip())
-            out.append((start, start + len(found.group().strip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-    return out
 
+def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, row, digest, words, start, stop, pos, h)`` of every text of ``min_words`` words and more.
 
-def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, row, pos, start, stop, words, h1, h2)``; ``row`` tells rows with one key apart by their text."""
+    ``row`` tells rows with one key apart by their text, ``digest`` is of the words in lower case, ``start`` and
+    ``stop`` bound the words in the text, and ``pos`` and ``h`` list its selected seeds.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [units_of(t or "") for t in batch.column(2).to_pylist()]
-                sizes = np.array([len(f) for f in found])
-                take = pa.array(np.repeat(np.arange(len(found)), sizes))
-                flat = [u for f in found for u in f]
-                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if len(sizes) else np.zeros(0, np.int32)
-                start, stop, words = (np.array([u[i] for u in flat], np.int32) for i in range(3))
-                hashes = np.frombuffer(b"".join(u[3] for u in flat), np.int64).reshape(-1, 2)
+                take, rows, places, hashes = [], [], [], []
+                for i, value in enumerate(batch.column(2)):
+                    value = value.as_py() or ""
+                    words = word_hashes(value)
+                    if len(words) < min_words:
+                        continue
+                    grams, smallest = seeds_of(words, min_words)
+                    pos = np.unique(smallest)
+                    take.append(i)
+                    places.append(pos.astype(np.int32))
+                    hashes.append(grams[pos].view(np.int64))
+                    rows.append((xxhash.xxh3_128_digest(words.tobytes()), len(words), len(value) - len(value.lstrip()), len(value.rstrip())))
+                cuts = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
+                flat = [pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in ((places, np.int32), (hashes, np.int64))]
+                numbers = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (pos, start, stop, words, hashes[:, 0].copy(), hashes[:, 1].copy()))],
-                    ["doc_id", "row", "pos", "start", "stop", "words", "h1", "h2"])
+                    [batch.column(0).take(numbers), batch.column(1).take(numbers), pa.array([r[0] for r in rows], pa.binary()),
+                     *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)], *[pa.ListArray.from_arrays(cuts, x) for x in flat]],
+                    ["doc_id", "row", "digest", "words", "start", "stop", "pos", "h"])
+
+    return spread_rows(slim_rows(docs, key, text)).mapInArrow(
+        run, f"doc_id {kind}, row long, digest binary, words int, start int, stop int, pos array<int>, h array<long>")
+
 
-    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).cast("string").alias("text"))
-    return spread_rows(slim).mapInArrow(run, f"doc_id {kind}, row long, pos int, start int, stop int, words int, h1 long, h2 long")
+def windows(marked: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """``(doc_id, row, pos, start, stop, h1, h2)`` of the windows whose smallest seed is in ``marked(doc_id, row, text, places)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                take, found = [], []
+                for i in range(batch.num_rows):
+                    value = batch.column(2)[i].as_py()
+                    words = word_hashes(value)
+                    _, smallest = seeds_of(words, min_words)
+                    pos = np.flatnonzero(np.isin(smallest, batch.column(3)[i].values.to_numpy()))
+                    spans = np.array([m.span() for m in WORD.finditer(value)], np.int32)
+                    halves = [gram_hashes(words, min_words, f)[pos] for f in FACTORS]
+                    halves = [halves[0].view(np.int64), halves[1].astype(np.uint32).view(np.int32)]
+                    take.append(np.full(len(pos), i))
+                    found.append((pos.astype(np.int32), spans[pos, 0], spans[pos + min_words - 1, 1], *halves))
+                numbers = pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))
+                flat = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers), batch.column(1).take(numbers), *flat],
+                                                 ["doc_id", "row", "pos", "start", "stop", "h1", "h2"])
+
+    return marked.select("doc_id", "row", "text", "places").mapInArrow(
+        run, f"doc_id {kind}, row long, pos int, start int, stop int, h1 long, h2 int")
+
+
+def same_row(key: str = "_key", row: str = "_row") -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("row") == F.col(row))
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, row, start, stop, words, first_doc_id)``: every later occurrence of a passage, by offsets in its text.
 
-    A unit occurs first in the row with the smallest key (null last), and there at the smallest position; every
-    other occurrence is repeated, in the same text too.  Runs of repeated units with ``min_words`` words in all are
-    passages; ``first_doc_id`` holds the first occurrence of the run's first unit.  Units are counted over all
-    texts with one aggregated row per unit and task, and joined in a way that the adaptive runtime splits for hot
-    units.  Null and empty texts have no units; rows alike in key and text occur at one place and do not repeat
-    each other; other columns are ignored.
+    Passages are runs of words, compared in lower case, of which every ``min_words`` in a row occur before: in a row
+    with a smaller key (null last) or at a smaller position of the same text, without overlap.  They may start and
+    end anywhere.  ``first_doc_id`` holds the first occurrence of the passage's first ``min_words`` words.
+
+    All such runs are found.  Of every window of ``min_words`` words the smallest seed is looked up over the corpus
+    (2 of 27 words start a selected seed); only windows whose seed occurs twice are hashed and joined, so what is
+    shuffled follows the repeated text.  Whole copies of a text are told by their digest and hash no windows.
+    Null texts have no words; rows alike in key and text occur at one place and do not repeat each other; other
+    columns are ignored.
     """
+    kind = docs.schema[key].dataType.simpleString()
+    every = cut_table(seeds(docs, key, text, min_words))
+    origin = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    owners = every.groupBy("digest").agg(F.min(origin).alias("first"), F.max(origin).alias("last")).where("first != last").select("digest", "first")
+    copies = cut_table(every.select("doc_id", "row", "digest", "words", "start", "stop").join(owners, "digest").where(~origin.eqNullSafe(F.col("first"))))
+    # a whole copy has the same seeds at the same places: one occurrence
+    each = every.select("doc_id", "row", "digest", F.explode(F.arrays_zip("pos", "h")).alias("s")).select(
+        "doc_id", "row", "s.pos", "s.h", F.xxhash64("digest", "s.pos").alias("at"))
+    twice = each.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high").select("h")
+    marked = each.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("places"))
+    gone = copies.select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"))
+    marked = marked.join(gone, same_row(), "left_anti").select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "places")
+    found = cut_table(windows(slim_rows(docs, key, text).join(marked, same_row()), kind, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
-    first = units(docs, key, text).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first != last").select("h1", "h2", "first")
-    again = units(docs, key, text).join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    again = again.select("doc_id", "row", "pos", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"))
-    text_order = Window.partitionBy("doc_id", "row").orderBy("pos")
-    runs = again.withColumn("run", F.col("pos") - F.dense_rank().over(text_order))
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    again = found.join(first, ["h1", "h2"]).where(~own | (F.col("pos") >= F.col("first.pos") + min_words))
+    again = again.select("doc_id", "row", "pos", "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
+    order = Window.partitionBy("doc_id", "row").orderBy("pos")
+    apart = F.coalesce((F.col("pos") > F.lag("pos").over(order) + min_words).cast("int"), F.lit(1))
+    runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     passages = runs.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"),
-        F.min_by("first_doc_id", "pos").alias("first_doc_id"))
-    return passages.where(F.col("words") >= min_words).drop("run")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + min_words).cast("long").alias("words"),
+        F.min_by("first_doc_id", "pos").alias("first_doc_id")).drop("run")
+    return passages.unionByName(copies.select("doc_id", "row", "start", "stop", F.col("words").cast("long").alias("words"), F.col("first.doc_id").alias("first_doc_id")))
 
 
 def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
