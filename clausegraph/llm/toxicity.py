@@ -1,14 +1,16 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine, with a block-max inverted index."""
+"""Toxicity from the nearest labelled examples by TF-IDF cosine over all their terms, with a block-max inverted index."""
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,10 @@ from clausegraph.session import cut_lineage
 
 #: Labelled examples of each class that are fitted at most, by the smallest seeded hash of their key.
 PER_CLASS = 2000
-#: Terms of the vocabulary at most, by chi-square with the label.
-MAX_TERMS = 2000
-MIN_CHI = 30.0
 #: Neighbours that vote, and examples of a block.
 NEIGHBOURS, BLOCK = 25, 64
+#: Postings of a query above which block bounds are looked at first.
+PRUNED = 200_000
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -50,9 +51,9 @@ def term_counts(docs: DataFrame, extra: str) -> DataFrame:
 class Examples:
     """Labelled examples as a block-max inverted index.
 
-    ``postings[t]`` lists the blocks that hold term t, the largest weight of t in each and the weights of the block's
-    examples.  A query adds up the largest weights to a bound for each block, scores blocks from the highest bound
-    down, and stops when the bound of the next block is below its k-th best cosine: the result is exact.
+    ``postings`` lists the examples that hold a term with their weights, ``bounds`` the blocks that hold it with its
+    largest weight in each.  A query adds up the largest weights to a bound for each block; blocks are scored
+    from the highest bound down until the bound of the next is below the k-th best cosine: the result is exact.
     """
 
     def __init__(self, ids: list, labels: np.ndarray, counts: list[dict[str, int]], weights: dict[int, float]) -> None:
@@ -65,11 +66,19 @@ class Examples:
         self.vote = np.array([weights[int(y)] for y in self.labels])
         self.rows = [rows[i] for i in order]
         self.blocks = -(-len(ids) // BLOCK)
-        entries: dict[int, dict[int, np.ndarray]] = {}
-        for i, (columns, values) in enumerate(self.rows):
-            for c, v in zip(columns.tolist(), values.tolist(), strict=True):
-                entries.setdefault(c, {}).setdefault(i // BLOCK, np.zeros(BLOCK))[i % BLOCK] = v
-        self.postings = {c: (np.array(list(b)), np.array([v.max() for v in b.values()]), np.stack(list(b.values())), {k: i for i, k in enumerate(b)}) for c, b in entries.items()}
+        owner = np.repeat(np.arange(len(self.rows)), [len(r[0]) for r in self.rows])
+        columns, values = (np.concatenate([r[i] for r in self.rows]) for i in range(2))
+        by_term = np.argsort(columns, kind="stable")  # examples ascend within a term
+        ends = np.searchsorted(columns[by_term], np.arange(len(self.terms) + 1)).tolist()
+        owner, values = owner[by_term].astype(np.int32), values[by_term]
+        block = owner // BLOCK
+        fresh = np.ones(len(owner), bool)
+        fresh[1:] = (block[1:] != block[:-1]) | (columns[by_term][1:] != columns[by_term][:-1])
+        heads = np.flatnonzero(fresh)
+        most = np.maximum.reduceat(values, heads) if len(heads) else values
+        #: per term: (cuts, blocks, largest weights) and (cuts, examples, weights), each in one array for all terms
+        self.bounds = np.searchsorted(heads, ends).tolist(), block[heads], most
+        self.postings = ends, owner, values
         empty = np.array([not len(r[0]) for r in self.rows], bool)
         #: share of label 1 among examples without a known term, or among all
         self.base = self.share(self.labels[empty], self.vote[empty]) if empty.any() else self.share(self.labels, self.vote)
@@ -88,24 +97,41 @@ class Examples:
 
     def nearest(self, columns: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines; equal cosines in the order of the index."""
-        bound = np.zeros(self.blocks)
-        lists = [self.postings[c] for c in columns.tolist()]
-        for value, (blocks, most, _, _) in zip(values.tolist(), lists, strict=True):
-            bound[blocks] += value * most
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for value, (_, _, held, place) in zip(values.tolist(), lists, strict=True):
-                if (at := place.get(block)) is not None:
-                    scores += value * held[at]
-            numbers = np.arange(block * BLOCK, block * BLOCK + BLOCK)
-            live = (scores > 0) & (numbers != skip)
-            best_at, best = np.concatenate((best_at, numbers[live])), np.concatenate((best, scores[live]))
-            order = np.lexsort((best_at, -best.round(12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(columns):
+            return none
+        known = columns.tolist()
+
+        def total(held: tuple, size: int, keep: np.ndarray | None = None) -> np.ndarray:
+            cuts, places, weights = held
+            spans = [(cuts[c], cuts[c + 1]) for c in known]
+            where = np.concatenate([places[a:b] for a, b in spans])
+            value = np.concatenate([weights[a:b] for a, b in spans]) * np.repeat(values, [b - a for a, b in spans])
+            if keep is not None:
+                chosen = keep[where // BLOCK]
+                where, value = where[chosen], value[chosen]
+            return np.bincount(where, value, minlength=size)
+
+        most = sum(self.postings[0][c + 1] - self.postings[0][c] for c in known)
+        scores, live = None, None
+        if most > PRUNED:  # below that, all scores cost less than the bounds
+            bound = total(self.bounds, self.blocks)
+            tried = np.zeros(self.blocks, bool)
+            tried[np.argsort(-bound, kind="stable")[: max(2, -(-2 * (k + 1) // BLOCK))]] = True
+            scores = total(self.postings, self.blocks * BLOCK, tried)
+            if 0 <= skip:
+                scores[skip] = 0.0
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            more = bound >= least - 1e-12
+            live = None if more.mean() > 0.5 else more | tried
+        scores = total(self.postings, self.blocks * BLOCK, live)
+        if 0 <= skip:
+            scores[skip] = 0.0
+        at = np.flatnonzero(scores > 0)
+        if len(at) > k:
+            at = at[scores[at] >= np.partition(scores[at], -k)[-k] - 1e-11]  # ties at the end are ordered below
+        order = np.lexsort((at, -scores[at].round(12)))[:k]
+        return at[order], scores[at[order]]
 
     def raw(self, columns: np.ndarray, values: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of label 1 in the votes, each by the squared cosine and the weight of its class."""
@@ -136,12 +162,10 @@ class Examples:
         return round(min(1.0, max(0.0, score)), 6), [(self.ids[i], round(float(c), 6), int(self.labels[i])) for i, c in zip(at[:5].tolist(), cosine[:5].tolist(), strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS,
-        max_terms: int = MAX_TERMS) -> Examples | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Examples | None:
     """Index of at most ``per_class`` labelled examples of each class; None without any.
 
-    Terms are kept whose presence at least doubles or halves the rate of a label and whose chi-square with it is at
-    least ``MIN_CHI``.  Classes are weighted back to their shares among all labelled rows.  Held-out rows and null
+    All terms of the examples count.  Classes are weighted back to their shares among all labelled rows.  Held-out rows and null
     labels teach nothing; of several labels of one row the largest counts.
     """
     marks = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(
@@ -153,23 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
     counts = cut_lineage(term_counts(texts, kind))
-    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.countDistinct("id").alias("n")).collect()}
-    if not sizes:
+    # one text of terms and one of counts an example: much smaller on the driver than a row a term
+    held = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("found")).select(
+        "id", F.array_join("found.term", " ").alias("terms"), F.array_join(F.col("found.n").cast("array<string>"), " ").alias("n"))
+    rows = chosen.join(held, "id").orderBy("id").collect()  # bounded by ``per_class``
+    if not rows:
         return None
-    ones, zeros = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    seen = counts.groupBy("term").agg(F.sum(F.col("label")).alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.lit(ones) - a, F.lit(zeros) - b
-    total = ones + zeros
-    chi = F.lit(total) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(ones * zeros) * (a + b) * (c + d), F.lit(1e-9))
-    rate = ((a + 0.5) / F.lit(ones + 1)) / ((b + 0.5) / F.lit(zeros + 1))
-    top = seen.withColumn("chi", chi).where((F.col("chi") >= MIN_CHI) & ((rate >= 2) | (rate <= 0.5)))
-    vocabulary = top.orderBy(F.desc("chi"), "term").limit(max_terms).select("term")
-    held = counts.join(F.broadcast(vocabulary), "term").groupBy("id").agg(F.collect_list(F.struct("term", "n")).alias("found"))
-    rows = chosen.join(counts.select("id").distinct(), "id").join(held, "id", "left").orderBy("id").collect()  # two bounds above
     weights = {y: totals[y] / max(1, sum(r["label"] == y for r in rows)) for y in totals}
-    found = [{x["term"]: x["n"] for x in r["found"] or []} for r in rows]
-    return Examples([r["id"] for r in rows], np.array([r["label"] for r in rows]), found, weights) if rows else None
+    found = [dict(zip(map(sys.intern, r["terms"].split(" ")), map(int, r["n"].split(" ")), strict=True)) for r in rows]
+    return Examples([r["id"] for r in rows], np.array([r["label"] for r in rows]), found, weights)
 
 
 def score(docs: DataFrame, examples: Examples | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,20 +196,20 @@ def score(docs: DataFrame, examples: Examples | None, key: str = "doc_id", text:
     """
     kind = docs.schema[key].dataType.simpleString()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(examples)  # at most 2 x per_class examples of max_terms terms
+    shared = spark.sparkContext.broadcast(examples)  # at most 2 x per_class examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
             for value in batch.column(2):
-                counts = terms(value.as_py())
-                own = tuple(sorted((t, n) for t, n in counts.items() if t in model.terms)) if model else ()
+                plain = value.as_py() or ""
+                own = xxhash.xxh3_128_digest(plain)
                 if own not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[own] = model.score(dict(own)) if model else (0.0, [])
+                    known[own] = model.score(terms(plain)) if model else (0.0, [])
                 out.append(known[own])
             evidence = pa.array([[{"id": e[0], "cosine": e[1], "label": e[2]} for e in x[1]] for x in out],
                                 pa.list_(pa.struct([("id", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())])))
