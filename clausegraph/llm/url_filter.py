@@ -44,15 +44,15 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda t: ~t.endswith(":"))))
 
 
-def mine(transactions: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 3) -> DataFrame:
+def mine(transactions: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """``(rule_id, tokens, support, confidence, probe)`` for rules "tokens => block".
 
-    ``transactions(items)`` hold the tokens of labelled rows and ``BAD`` for bad ones.  Rules of more than
-    ``max_tokens`` tokens are left out, and so are rules that contain a shorter rule of the same or more confidence.
+    ``transactions(items)`` hold the tokens of labelled rows and ``BAD`` for bad ones.  Rules of any length count, but
+    for those that contain a shorter rule of the same or more confidence.
     ``probe`` is the rarest token of a rule, under which the index holds it.
     """
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(transactions)
-    sets = cut_lineage(model.freqItemsets.where(F.size("items") <= max_tokens + 1).withColumn("items", F.array_sort("items")))
+    sets = cut_lineage(model.freqItemsets.withColumn("items", F.array_sort("items")))
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("hits"))
     good = sets.where(~F.array_contains("items", BAD)).select(F.col("items").alias("tokens"), "freq")
     rules = bad.join(good, "tokens").withColumn("confidence", F.col("hits") / F.col("freq")).where(F.col("confidence") >= min_confidence)

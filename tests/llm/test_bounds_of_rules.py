@@ -1,8 +1,9 @@
-"""Vectors of few dimensions."""
+"""Vectors of few dimensions and long url rules."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from clausegraph.llm import embedding_dedup
+from clausegraph.llm import embedding_dedup, url_filter
 
 from test_operators import groups
 
@@ -15,3 +16,13 @@ def test_vectors_of_one_to_three_dimensions(spark):
     want = groups(links, unit)
     got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == want and len(set(want.values())) < len(want)
+
+
+def test_rules_of_four_tokens_are_mined(spark):
+    parts = ("a", "b", "c", "d")
+    rows = []
+    for i in range(320):
+        held = [p for n, p in enumerate(parts) if i >> n & 1]
+        rows.append((held + ([url_filter.BAD] if len(held) == 4 else []),))
+    rules = url_filter.mine(spark.createDataFrame(rows, "items array<string>").where(F.size("items") > 0), 0.01, 0.9).collect()
+    assert [(sorted(r["tokens"]), r["confidence"]) for r in rules] == [(["a", "b", "c", "d"], 1.0)]
