@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine over all their terms, with a block-max inverted index."""
+"""Toxicity from the nearest labelled examples by TF-IDF cosine over all their terms, weighted by class contrast, with a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,7 @@ from clausegraph.session import cut_lineage
 #: Labelled examples of each class that are fitted at most, by the smallest seeded hash of their key.
 PER_CLASS = 2000
 #: Neighbours that vote, and examples of a block.
-NEIGHBOURS, BLOCK = 25, 64
-#: Postings of a query above which block bounds are looked at first.
-PRUNED = 200_000
+NEIGHBOURS, BLOCK = 25, 32
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -48,18 +47,39 @@ def term_counts(docs: DataFrame, extra: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {extra}, label int, term string, n long")
 
 
+def class_contrast(counts: list[dict[str, int]], labels: np.ndarray, names: dict[str, int]) -> np.ndarray:
+    """z of each term: the log-odds of holding it in the one class against the other, over their standard error (0.5 added to each count)."""
+    held = np.zeros((2, len(names)))
+    for label, own in zip(labels.tolist(), counts, strict=True):
+        held[int(label), [names[t] for t in own]] += 1
+    total = np.array([(labels == y).sum() for y in (0, 1)], float)[:, None]
+    with_, without = held + 0.5, total - held + 0.5
+    odds = np.log(with_ / without)
+    return (odds[1] - odds[0]) / np.sqrt((1 / with_ + 1 / without).sum(0))
+
+
+def spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and the size of each range."""
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes), sizes
+
+
 class Examples:
     """Labelled examples as a block-max inverted index.
 
-    ``postings`` lists the examples that hold a term with their weights, ``bounds`` the blocks that hold it with its
-    largest weight in each.  A query adds up the largest weights to a bound for each block; blocks are scored
-    from the highest bound down until the bound of the next is below the k-th best cosine: the result is exact.
+    A term weighs its inverse document frequency times ``1 + z ** 2`` (``class_contrast``): every term counts, those that
+    tell the classes apart count more, and an equal text still has a cosine of 1.  Postings list the examples that
+    hold a term with their weights, in blocks of examples, with the largest weight of each block.  A query adds up
+    these largest weights to a bound for each block; the best blocks are scored first, then only those whose bound
+    reaches the k-th best cosine: the result is exact.  ``scored`` and ``offered`` count blocks.
     """
 
     def __init__(self, ids: list, labels: np.ndarray, counts: list[dict[str, int]], weights: dict[int, float]) -> None:
         found = Counter(t for c in counts for t in c)
         self.terms = {t: i for i, t in enumerate(sorted(found))}
-        self.idf = np.array([math.log((1 + len(ids)) / (1 + found[t])) + 1 for t in self.terms])
+        self.idf = np.array([math.log((1 + len(ids)) / (1 + found[t])) + 1 for t in self.terms]) * (1 + class_contrast(counts, labels, self.terms) ** 2)
+        self.scored = self.offered = 0
         rows = [self.vector(c) for c in counts]
         order = sorted(range(len(ids)), key=lambda i: (len(rows[i][0]) == 0, rows[i][0][rows[i][1].argmax()] if len(rows[i][0]) else 0, labels[i], i))
         self.ids, self.labels = [ids[i] for i in order], labels[order].astype(np.float64)
@@ -69,16 +89,15 @@ class Examples:
         owner = np.repeat(np.arange(len(self.rows)), [len(r[0]) for r in self.rows])
         columns, values = (np.concatenate([r[i] for r in self.rows]) for i in range(2))
         by_term = np.argsort(columns, kind="stable")  # examples ascend within a term
-        ends = np.searchsorted(columns[by_term], np.arange(len(self.terms) + 1)).tolist()
-        owner, values = owner[by_term].astype(np.int32), values[by_term]
-        block = owner // BLOCK
-        fresh = np.ones(len(owner), bool)
-        fresh[1:] = (block[1:] != block[:-1]) | (columns[by_term][1:] != columns[by_term][:-1])
+        columns, self.owner, self.values = columns[by_term], owner[by_term].astype(np.int32), values[by_term]
+        block = self.owner // BLOCK
+        fresh = np.ones(len(block), bool)
+        fresh[1:] = (block[1:] != block[:-1]) | (columns[1:] != columns[:-1])
         heads = np.flatnonzero(fresh)
-        most = np.maximum.reduceat(values, heads) if len(heads) else values
-        #: per term: (cuts, blocks, largest weights) and (cuts, examples, weights), each in one array for all terms
-        self.bounds = np.searchsorted(heads, ends).tolist(), block[heads], most
-        self.postings = ends, owner, values
+        #: one entry for each term and block: its first posting, block and largest weight; ``cuts`` has the entries of each term
+        self.heads, self.block = np.append(heads, len(block)), block[heads]
+        self.most = np.maximum.reduceat(self.values, heads) if len(heads) else self.values
+        self.cuts = np.searchsorted(columns[heads], np.arange(len(self.terms) + 1))
         empty = np.array([not len(r[0]) for r in self.rows], bool)
         #: share of label 1 among examples without a known term, or among all
         self.base = self.share(self.labels[empty], self.vote[empty]) if empty.any() else self.share(self.labels, self.vote)
@@ -89,44 +108,40 @@ class Examples:
         return float((labels * weights).sum() / weights.sum()) if weights.sum() else 0.0
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit TF-IDF weights of the known terms, in the order of the numbers."""
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        columns = np.array([c for c, _ in known], np.int64)
-        values = np.array([1 + math.log(n) for _, n in known]) * self.idf[columns] if known else np.zeros(0)
-        return columns, values / math.sqrt((values * values).sum()) if known else values
+        """Term numbers and unit weights of the known terms, in the order of the numbers."""
+        columns = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        numbers = np.fromiter(counts.values(), np.float64, len(counts))[columns >= 0]
+        columns = columns[columns >= 0]
+        order = np.argsort(columns)
+        columns = columns[order]
+        values = (1 + np.log(numbers[order])) * self.idf[columns]
+        return columns, values / math.sqrt((values * values).sum()) if len(values) else values
 
     def nearest(self, columns: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines; equal cosines in the order of the index."""
-        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(columns):
-            return none
-        known = columns.tolist()
-
-        def total(held: tuple, size: int, keep: np.ndarray | None = None) -> np.ndarray:
-            cuts, places, weights = held
-            spans = [(cuts[c], cuts[c + 1]) for c in known]
-            where = np.concatenate([places[a:b] for a, b in spans])
-            value = np.concatenate([weights[a:b] for a, b in spans]) * np.repeat(values, [b - a for a, b in spans])
-            if keep is not None:
-                chosen = keep[where // BLOCK]
-                where, value = where[chosen], value[chosen]
-            return np.bincount(where, value, minlength=size)
-
-        most = sum(self.postings[0][c + 1] - self.postings[0][c] for c in known)
-        scores, live = None, None
-        if most > PRUNED:  # below that, all scores cost less than the bounds
-            bound = total(self.bounds, self.blocks)
-            tried = np.zeros(self.blocks, bool)
-            tried[np.argsort(-bound, kind="stable")[: max(2, -(-2 * (k + 1) // BLOCK))]] = True
-            scores = total(self.postings, self.blocks * BLOCK, tried)
-            if 0 <= skip:
+            return np.zeros(0, np.int64), np.zeros(0)
+        entries, sizes = spread(self.cuts[columns], self.cuts[columns + 1])
+        block, weight = self.block[entries], np.repeat(values, sizes)
+        bound = np.bincount(block, self.most[entries] * weight, minlength=self.blocks)
+        scores = np.zeros(self.blocks * BLOCK)
+
+        def score(chosen: np.ndarray) -> None:
+            mine = chosen[block]
+            places, sizes = spread(self.heads[entries[mine]], self.heads[entries[mine] + 1])
+            np.add(scores, np.bincount(self.owner[places], self.values[places] * np.repeat(weight[mine], sizes), minlength=len(scores)), out=scores)
+            if skip >= 0:
                 scores[skip] = 0.0
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            more = bound >= least - 1e-12
-            live = None if more.mean() > 0.5 else more | tried
-        scores = total(self.postings, self.blocks * BLOCK, live)
-        if 0 <= skip:
-            scores[skip] = 0.0
+
+        first = np.zeros(self.blocks, bool)
+        count = min(self.blocks, -(-2 * (k + 1) // BLOCK))
+        first[np.argpartition(-bound, count - 1)[:count]] = True
+        score(first)
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = (bound >= least - 1e-12) & (bound > 0) & ~first
+        score(rest)
+        self.scored += int(count + rest.sum())
+        self.offered += self.blocks
         at = np.flatnonzero(scores > 0)
         if len(at) > k:
             at = at[scores[at] >= np.partition(scores[at], -k)[-k] - 1e-11]  # ties at the end are ordered below
@@ -165,7 +180,7 @@ class Examples:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Examples | None:
     """Index of at most ``per_class`` labelled examples of each class; None without any.
 
-    All terms of the examples count.  Classes are weighted back to their shares among all labelled rows.  Held-out rows and null
+    All terms of the examples count, each by its inverse document frequency and ``1 + z ** 2``.  Classes are weighted back to their shares among all labelled rows.  Held-out rows and null
     labels teach nothing; of several labels of one row the largest counts.
     """
     marks = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(
