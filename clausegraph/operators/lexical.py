@@ -14,6 +14,7 @@ from clausegraph.config import Bm25
 from clausegraph.functions import text as tx
 from clausegraph.functions.exact import SCALE, fixed_sum, from_fixed, to_fixed
 from clausegraph.operators.scale import BROADCAST_ROWS, fan_out_partitions, fits, salted_join, top_per_key, with_scalars
+from clausegraph.sources import snapshots
 
 UNIT_MARK = ""  # one pseudo-token per unit; carries unit counts and lengths
 
@@ -72,36 +73,68 @@ def _restricted_postings(units: DataFrame, vocabulary: DataFrame, small: bool) -
         F.count(F.lit(1)).alias("tf"), F.max(F.col("token") == UNIT_MARK).alias("is_unit"))
 
 
+def variant_slots(terms: DataFrame, slots: int) -> DataFrame:
+    """``(query_id, token, qtfs)``: the counts of a token in all variants of a question, next to each other.
+
+    One row a token, however many variants hold it: a posting meets a question once.
+    """
+    held = F.map_from_entries(F.collect_list(F.struct("variant", "qtf")))
+    packed = terms.groupBy("query_id", "token").agg(held.alias("_held"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.col("_held")[i], F.lit(0).cast("bigint")))
+    return packed.select("query_id", "token", counts.alias("qtfs"))
+
+
+def _bm25_hits(postings: DataFrame, sizes: DataFrame, terms: DataFrame, params: Bm25, small: bool, by_part: bool,
+               dictionary: DataFrame | None = None) -> DataFrame:
+    """Scores of ``postings`` of the asked tokens; ``terms`` has ``qtf``, or ``variant`` and ``qtf``.
+
+    Variants stand side by side in slots: every posting is joined once per question, each unit keeps one sum per
+    slot, and the slots come apart only at the maximum.
+    """
+    n, df = F.col("n_units"), F.col("df")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    average = F.greatest(F.lit(1.0), F.col("total_dl") / n)
+    if dictionary is None:
+        dictionary = postings.groupBy("part", "token").agg(F.count(F.lit(1)).alias("df"))
+    dictionary = dictionary.join(F.broadcast(sizes), "part").select("part", "token", idf.alias("idf"), average.alias("avgdl"))
+    slots = 1
+    if "variant" in terms.columns:
+        last = terms.agg(F.max("variant").alias("last")).first()["last"]
+        slots = 1 + (last or 0)
+        terms = variant_slots(terms, slots)
+    else:
+        terms = terms.select("query_id", "token", F.array("qtf").alias("qtfs"))
+    weights = terms.join(dictionary, "token")
+    tf, dl = F.col("tf"), F.col("dl")
+    saturation = tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * dl / F.col("avgdl")))
+    hits = _join_terms(postings, weights, ["part", "token"], small)
+    item_keys = ["query_id", "part", "item_id"] if by_part else ["query_id", "item_id"]
+    sums = [fixed_sum(F.col("qtfs")[i] * F.col("idf") * saturation).alias(f"_v{i}") for i in range(slots)]
+    per_unit = hits.groupBy(*item_keys, "unit_no").agg(*sums)
+    best = F.greatest(*[F.col(f"_v{i}") for i in range(slots)]) if slots > 1 else F.col("_v0")
+    return per_unit.select(*item_keys, best.alias("raw")).where(F.col("raw") > 0).groupBy(*item_keys).agg(F.max("raw").alias("raw"))
+
+
 def bm25_scores(units: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), tokenizer: tx.Tokenizer = tx.words,
                 broadcast_rows: int = BROADCAST_ROWS, by_part: bool = False, parts: int = 2) -> DataFrame:
     """``(query_id[, part], item_id, raw)``: best unit and best query variant per item.
 
-    ``units`` needs ``tokens`` and ``dl``.  Statistics are kept per ``part`` so
-    that separate indexes have separate idf universes.  ``parts`` bounds how
-    many of them there are: weights have at most terms times parts rows.
+    ``units`` needs ``tokens`` and ``dl``, or is a stored index (``sources.index``), of which only the asked tokens are
+    read.  Statistics are kept per ``part`` so that separate indexes have separate idf universes.  ``parts`` bounds
+    how many of them there are: weights have at most terms times parts rows.
     """
     terms = query_terms(queries, tokenizer)
     small = fits(terms, broadcast_rows // parts)
+    if not isinstance(units, DataFrame):
+        stored = units.postings(terms, one_part=not by_part)
+        return _bm25_hits(stored, units.sizes(one_part=not by_part), terms, params, small, by_part)
     postings = _restricted_postings(units, terms, small)
     per_token = postings.groupBy("part", "token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").cast("bigint").alias("total_dl"),
         F.max("is_unit").alias("is_unit"))
     sizes = per_token.where("is_unit").select("part", F.col("df").alias("n_units"), "total_dl")
-    n, df = F.col("n_units"), F.col("df")
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    average = F.greatest(F.lit(1.0), F.col("total_dl") / n)
-    dictionary = (per_token.where("not is_unit").select("part", "token", "df")
-                  .join(F.broadcast(sizes), "part")
-                  .select("part", "token", idf.alias("idf"), average.alias("avgdl")))
-    weights = terms.join(dictionary, "token")
-    tf, dl = F.col("tf"), F.col("dl")
-    saturation = tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * dl / F.col("avgdl")))
-    hits = _join_terms(postings.where("not is_unit"), weights, ["part", "token"], small)
-    item_keys = ["query_id", "part", "item_id"] if by_part else ["query_id", "item_id"]
-    variant = ["variant"] if "variant" in terms.columns else []
-    per_unit = hits.groupBy(*item_keys, *variant, "unit_no").agg(
-        fixed_sum(F.col("qtf") * F.col("idf") * saturation).alias("raw"))
-    return per_unit.where(F.col("raw") > 0).groupBy(*item_keys).agg(F.max("raw").alias("raw"))
+    dictionary = per_token.where("not is_unit").select("part", "token", "df")
+    return _bm25_hits(postings.where("not is_unit"), sizes, terms, params, small, by_part, dictionary)
 
 
 def normalized_top(scores: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), raw: str = "raw") -> DataFrame:
@@ -174,26 +207,42 @@ def tfidf_search(units: DataFrame, queries: DataFrame, k: int = 5, tokenizer: tx
     """Cosine over ``(1+ln tf)·(ln((N+1)/(df+1))+1)``; best unit per item.
 
     Returns ``(query_id, item_id, score, rank)``; ``normalize`` divides by the
-    best score of the question.
+    best score of the question.  ``units`` may be a stored index.
     """
-    postings = full_postings(units)
-    per_token = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("is_unit").alias("is_unit"))
-    total = per_token.where("is_unit").select(F.col("df").alias("n_units"))
-    dictionary = per_token.where("not is_unit")
-    idf = F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1
-    dictionary = with_scalars(dictionary, total).select("token", "df", idf.alias("idf"))
+    if isinstance(units, DataFrame):
+        postings = full_postings(units)
+        per_token = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("is_unit").alias("is_unit"))
+        total = per_token.where("is_unit").select(F.col("df").alias("n_units"))
+        dictionary, postings = per_token.where("not is_unit"), postings.where("not is_unit")
+    else:
+        return _stored_tfidf(units, queries, k, tokenizer, broadcast_rows, hot_df, normalize)
+    weighted = attach_dictionary(postings, _tfidf_dictionary(dictionary, total), hot_df, broadcast_rows)
+    weighted = weighted.select("item_id", "unit_no", "token", _tfidf_weight().alias("w"))
     terms = query_terms(queries, tokenizer)
-    known = terms.join(dictionary, "token").select(
-        "query_id", "token", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
+    asked = _join_terms(weighted, _query_weights(terms, _tfidf_dictionary(dictionary, total)), ["token"], fits(terms, broadcast_rows))
+    return _tfidf_top(asked, _unit_norms(weighted), k, normalize)
+
+
+def _tfidf_dictionary(df_by_token: DataFrame, total: DataFrame) -> DataFrame:
+    idf = F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1
+    return with_scalars(df_by_token, total).select("token", "df", idf.alias("idf"))
+
+
+def _tfidf_weight() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
+
+
+def _query_weights(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    known = terms.join(dictionary, "token").select("query_id", "token", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
     q_norm = F.sqrt(from_fixed(fixed_sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
-    q_weights = known.select("query_id", "token", (F.col("qw") / q_norm).alias("qw"))
-
-    weighted = attach_dictionary(postings.where("not is_unit"), dictionary, hot_df, broadcast_rows)
-    w = (1 + F.log("tf")) * F.col("idf")
-    weighted = weighted.select("item_id", "unit_no", "token", w.alias("w"))
-    norms = weighted.groupBy("item_id", "unit_no").agg(
-        F.sqrt(from_fixed(fixed_sum(F.col("w") * F.col("w")))).alias("dn"))
-    asked = _join_terms(weighted, q_weights, ["token"], fits(terms, broadcast_rows))
+    return known.select("query_id", "token", (F.col("qw") / q_norm).alias("qw"))
+
+
+def _unit_norms(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("item_id", "unit_no").agg(F.sqrt(from_fixed(fixed_sum(F.col("w") * F.col("w")))).alias("dn"))
+
+
+def _tfidf_top(asked: DataFrame, norms: DataFrame, k: int, normalize: bool) -> DataFrame:
     dots = asked.join(norms, ["item_id", "unit_no"]).groupBy("query_id", "item_id", "unit_no").agg(
         fixed_sum(F.col("qw") * (F.col("w") / F.col("dn"))).alias("raw"))
     best = dots.where(F.col("raw") > 0).groupBy("query_id", "item_id").agg(F.max("raw").alias("raw"))
@@ -202,7 +251,31 @@ def tfidf_search(units: DataFrame, queries: DataFrame, k: int = 5, tokenizer: tx
     return top.select("query_id", "item_id", score.alias("score"), "rank")
 
 
+def stored_norms(index, broadcast_rows: int = BROADCAST_ROWS, hot_df: int = 1_000_000) -> DataFrame:
+    """``(item_id, unit_no, dn)`` of an index version.  Every document frequency enters them, so each version has its own, written once."""
+    folder = f"{index.folder}/norms-{index.version}"
+
+    def build() -> dict[str, DataFrame]:
+        postings = index.postings().select("item_id", "unit_no", "token", "tf")
+        counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        weighted = attach_dictionary(postings, _tfidf_dictionary(counts, index.sizes(True).select("n_units")), hot_df, broadcast_rows)
+        return {"norms": _unit_norms(weighted.select("item_id", "unit_no", _tfidf_weight().alias("w")))}
+
+    snapshots.build_if_absent(index.spark, folder, build)
+    return snapshots.open_snapshot(index.spark, folder)["norms"]
+
+
+def _stored_tfidf(index, queries: DataFrame, k: int, tokenizer: tx.Tokenizer, broadcast_rows: int, hot_df: int, normalize: bool) -> DataFrame:
+    terms = query_terms(queries, tokenizer)
+    postings = index.postings(terms).select("item_id", "unit_no", "token", "tf")
+    dictionary = _tfidf_dictionary(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), index.sizes(True).select("n_units"))
+    q = _query_weights(terms, dictionary).join(dictionary.select("token", "idf"), "token")
+    hits = _join_terms(postings, q, ["token"], fits(terms, broadcast_rows))
+    asked = hits.select("query_id", "item_id", "unit_no", "qw", _tfidf_weight().alias("w"))
+    return _tfidf_top(asked, stored_norms(index, broadcast_rows, hot_df), k, normalize)
+
+
 __all__ = [
     "attach_dictionary", "bm25_scores", "bm25_search", "bm25_two_index_search", "expand_queries", "explode_units",
-    "full_postings", "normalized_top", "query_terms", "tfidf_search", "to_fixed", "tokenized",
+    "full_postings", "normalized_top", "query_terms", "stored_norms", "tfidf_search", "to_fixed", "tokenized", "variant_slots",
 ]

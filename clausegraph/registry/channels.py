@@ -8,8 +8,7 @@ from clausegraph.functions import text as tx
 from clausegraph.operators import dense, fusion, lexical as lx, rerank
 from clausegraph.operators.lexicon import contains_join
 from clausegraph.registry.base import register, table
-from clausegraph.registry.lexical import (
-    _PLAIN, _bm25_sql, document_tokens, document_units, questions)
+from clausegraph.registry.lexical import _PLAIN, _bm25_sql, document_units, questions, stored_index
 
 SQL_CENTROIDS = """cen AS (SELECT query_id, list(m ORDER BY pos) AS v FROM
    (SELECT label::BIGINT AS query_id, pos, avg(x::DOUBLE) AS m FROM
@@ -59,11 +58,11 @@ def contains_join_query(spark, d):
 def channel_rows(spark, d, pool=20):
     """BM25, first-sentence-length prior as the second text channel, quotations as the sparse one."""
     q = questions(spark, d)
-    bm25 = lx.bm25_search(document_tokens(spark, d), q, pool).select(
+    bm25 = lx.bm25_search(stored_index(spark, d), q, pool).select(
         "query_id", F.lit("bm25").alias("channel"), "item_id", "score", F.lit(None).cast("string").alias("path"))
     # second channel: BM25 over the question's own sentences as sub-queries, best per item
     sub = q.select("query_id", F.posexplode(tx.sentences("text", tx.LATIN_DELIMITERS)).alias("variant", "text"))
-    vector = lx.bm25_search(document_tokens(spark, d), sub, pool).select(
+    vector = lx.bm25_search(stored_index(spark, d), sub, pool).select(
         "query_id", F.lit("vector").alias("channel"), "item_id", "score", F.lit(None).cast("string").alias("path"))
     graph = quoted_items(spark, d).select(
         "query_id", F.lit("graph").alias("channel"), "item_id", F.lit(1.0).alias("score"), F.lit("quoted").alias("path"))
@@ -191,7 +190,7 @@ def candidate_pool(spark, d, pool=20):
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("item_id"), F.col("source").alias("law"), F.col("text").alias("body"),
         tx.derive_title("text").alias("title"))
-    top = lx.bm25_search(document_tokens(spark, d), q, pool).withColumnRenamed("score", "retrieval_score").drop("rank")
+    top = lx.bm25_search(stored_index(spark, d), q, pool).withColumnRenamed("score", "retrieval_score").drop("rank")
     return top.join(q.withColumnRenamed("text", "query_text"), "query_id").join(docs, "item_id")
 
 

@@ -8,7 +8,7 @@ from clausegraph.operators import dedupe, evaluate as ev, lexical as lx, limits
 from clausegraph.functions import text as tx
 from clausegraph.registry.base import register, spread_table, table
 from clausegraph.registry.channels import SQL_QUOTED, quoted_items
-from clausegraph.registry.lexical import _PLAIN, _bm25_sql, document_tokens, questions
+from clausegraph.registry.lexical import _PLAIN, _bm25_sql, document_tokens, questions, stored_index
 from clausegraph.sources import corpus
 
 # ------------------------------------------------------------------ metrics
@@ -25,7 +25,7 @@ f AS (SELECT g.query_id, min(rank) AS first FROM (SELECT DISTINCT query_id FROM
 SELECT count(*) AS cases, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3,
   round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM f""")
 def hit_mrr(spark, d):
-    ranked = lx.bm25_search(document_tokens(spark, d), questions(spark, d), 8)
+    ranked = lx.bm25_search(stored_index(spark, d), questions(spark, d), 8)
     return ev.hit_mrr(ranked, quoted_items(spark, d)).select("cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "mrr")])
 
 
@@ -34,7 +34,7 @@ wr AS (SELECT rk.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r
   WHERE query_id IN (SELECT query_id FROM gold) AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = rk.query_id AND g.item_id = rk.item_id))
 SELECT query_id, item_id, 1::BIGINT AS label FROM gold UNION ALL SELECT query_id, item_id, 0 FROM wr WHERE r <= 4""")
 def training_pairs(spark, d):
-    ranked = lx.bm25_search(document_tokens(spark, d), questions(spark, d), 8)
+    ranked = lx.bm25_search(stored_index(spark, d), questions(spark, d), 8)
     return ev.training_pairs(ranked, quoted_items(spark, d)).select("query_id", "item_id", F.col("label").cast("bigint").alias("label"))
 
 
