@@ -85,11 +85,12 @@ def variant_slots(terms: DataFrame, slots: int) -> DataFrame:
 
 
 def _bm25_hits(postings: DataFrame, sizes: DataFrame, terms: DataFrame, params: Bm25, small: bool, by_part: bool,
-               dictionary: DataFrame | None = None) -> DataFrame:
+               dictionary: DataFrame | None = None, per_sub: int = 0) -> DataFrame:
     """Scores of ``postings`` of the asked tokens; ``terms`` has ``qtf``, or ``variant`` and ``qtf``.
 
     Variants stand side by side in slots: every posting is joined once per question, each unit keeps one sum per
-    slot, and the slots come apart only at the maximum.
+    slot, and the slots come apart only at the maximum.  ``per_sub`` slots in a row belong to one sub-query, which
+    then keeps scores of its own (column ``sub``); 0 takes the maximum over all.
     """
     n, df = F.col("n_units"), F.col("df")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -111,12 +112,19 @@ def _bm25_hits(postings: DataFrame, sizes: DataFrame, terms: DataFrame, params:
     item_keys = ["query_id", "part", "item_id"] if by_part else ["query_id", "item_id"]
     sums = [fixed_sum(F.col("qtfs")[i] * F.col("idf") * saturation).alias(f"_v{i}") for i in range(slots)]
     per_unit = hits.groupBy(*item_keys, "unit_no").agg(*sums)
-    best = F.greatest(*[F.col(f"_v{i}") for i in range(slots)]) if slots > 1 else F.col("_v0")
+    columns = [F.col(f"_v{i}") for i in range(slots)]
+    if per_sub:
+        groups = [columns[i: i + per_sub] for i in range(0, slots, per_sub)]
+        tops = [(F.greatest(*g) if len(g) > 1 else g[0]).alias(f"_s{i}") for i, g in enumerate(groups)]
+        items = per_unit.select(*item_keys, *tops).groupBy(*item_keys).agg(*[F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(groups))])
+        apart = F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(len(groups))])).alias("sub", "raw")
+        return items.select(*item_keys, apart).where(F.col("raw") > 0)
+    best = F.greatest(*columns) if slots > 1 else columns[0]
     return per_unit.select(*item_keys, best.alias("raw")).where(F.col("raw") > 0).groupBy(*item_keys).agg(F.max("raw").alias("raw"))
 
 
 def bm25_scores(units: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), tokenizer: tx.Tokenizer = tx.words,
-                broadcast_rows: int = BROADCAST_ROWS, by_part: bool = False, parts: int = 2) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS, by_part: bool = False, parts: int = 2, per_sub: int = 0) -> DataFrame:
     """``(query_id[, part], item_id, raw)``: best unit and best query variant per item.
 
     ``units`` needs ``tokens`` and ``dl``, or is a stored index (``sources.index``), of which only the asked tokens are
@@ -127,14 +135,14 @@ def bm25_scores(units: DataFrame, queries: DataFrame, params: Bm25 = Bm25(), tok
     small = fits(terms, broadcast_rows // parts)
     if not isinstance(units, DataFrame):
         stored = units.postings(terms, one_part=not by_part)
-        return _bm25_hits(stored, units.sizes(one_part=not by_part), terms, params, small, by_part)
+        return _bm25_hits(stored, units.sizes(one_part=not by_part), terms, params, small, by_part, per_sub=per_sub)
     postings = _restricted_postings(units, terms, small)
     per_token = postings.groupBy("part", "token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").cast("bigint").alias("total_dl"),
         F.max("is_unit").alias("is_unit"))
     sizes = per_token.where("is_unit").select("part", F.col("df").alias("n_units"), "total_dl")
     dictionary = per_token.where("not is_unit").select("part", "token", "df")
-    return _bm25_hits(postings.where("not is_unit"), sizes, terms, params, small, by_part, dictionary)
+    return _bm25_hits(postings.where("not is_unit"), sizes, terms, params, small, by_part, dictionary, per_sub)
 
 
 def normalized_top(scores: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), raw: str = "raw") -> DataFrame:
@@ -150,6 +158,20 @@ def bm25_search(units: DataFrame, queries: DataFrame, k: int = 5, **kw) -> DataF
     return normalized_top(bm25_scores(units, queries, **kw), k).select("query_id", "item_id", "score", "rank")
 
 
+def bm25_sub_search(units: DataFrame, subs: DataFrame, pool: int, synonyms: list[tuple[str, str]] = (), **kw) -> DataFrame:
+    """``(query_id, sub, item_id, score)``: the best items of every sub-query, each list divided by its own best score.
+
+    ``subs(query_id, sub, text)`` numbers the sub-queries of a question from 0; synonyms widen each of them.  All
+    sub-queries and synonyms of a question are scored in one pass over the postings.
+    """
+    width = len(synonyms) + 1
+    wide = [F.when(F.contains("text", F.lit(key)), F.lit(syn)) for key, syn in synonyms]
+    variants = subs.select("query_id", "sub", F.posexplode(F.array(F.col("text"), *wide)).alias("place", "text")).where(F.col("text").isNotNull())
+    slots = variants.select("query_id", (F.col("sub") * width + F.col("place")).cast("int").alias("variant"), "text")
+    scores = bm25_scores(units, slots, per_sub=width, **kw)
+    return normalized_top(scores, pool, ("query_id", "sub")).select("query_id", "sub", "item_id", "score")
+
+
 def bm25_two_index_search(units: DataFrame, queries: DataFrame, gates: list[tuple[str, str]], pool: int,
                           laws: DataFrame, discount: float = 0.72, core: str = "core", **kw) -> DataFrame:
     """Core index always, specialty parts only for questions with a gate keyword.
@@ -276,6 +298,6 @@ def _stored_tfidf(index, queries: DataFrame, k: int, tokenizer: tx.Tokenizer, br
 
 
 __all__ = [
-    "attach_dictionary", "bm25_scores", "bm25_search", "bm25_two_index_search", "expand_queries", "explode_units",
+    "attach_dictionary", "bm25_scores", "bm25_search", "bm25_sub_search", "bm25_two_index_search", "expand_queries", "explode_units",
     "full_postings", "normalized_top", "query_terms", "stored_norms", "tfidf_search", "to_fixed", "tokenized", "variant_slots",
 ]

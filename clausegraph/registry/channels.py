@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from clausegraph.functions import text as tx
 from clausegraph.operators import dense, fusion, lexical as lx, rerank
 from clausegraph.operators.lexicon import contains_join
-from clausegraph.registry.base import register, table
-from clausegraph.registry.lexical import _PLAIN, _bm25_sql, document_units, questions, stored_index
+from clausegraph.registry.base import SQL_SENTENCES, SQL_WORDS, register, table
+from clausegraph.registry.lexical import SYNONYMS, _PLAIN, _bm25_sql, document_units, questions, stored_index
 
 SQL_CENTROIDS = """cen AS (SELECT query_id, list(m ORDER BY pos) AS v FROM
    (SELECT label::BIGINT AS query_id, pos, avg(x::DOUBLE) AS m FROM
@@ -70,8 +70,6 @@ def channel_rows(spark, d, pool=20):
 
 
 def _channel_sql(pool: int = 20) -> str:
-    from clausegraph.registry.base import SQL_SENTENCES, SQL_WORDS
-
     sub = f"""SELECT item_id AS query_id, generate_subscripts(ss, 1) AS variant, unnest(ss) AS text FROM
      (SELECT item_id, {SQL_SENTENCES.format(text='text')} AS ss FROM benchmark) z"""
     words = SQL_WORDS.format(text="text")
@@ -128,6 +126,52 @@ def channel_shares(spark, d):
         *[F.round(F.avg(f"{c}_share"), 6).alias(f"{c}_share") for c in fusion.CHANNELS], F.count(F.lit(1)).alias("n"))
 
 
+_SUBS = f"""SELECT item_id * 1000 + generate_subscripts(ss, 1) - 1 AS query_id, unnest(ss) AS text FROM
+  (SELECT item_id, {SQL_SENTENCES.format(text='text')} AS ss FROM benchmark) z"""
+_SUB_VARIANTS = f"SELECT query_id, 0 AS variant, text FROM ({_SUBS}) s0" + "".join(
+    f" UNION ALL SELECT query_id, {i + 1}, '{syn}' FROM ({_SUBS}) s{i + 1} WHERE contains(text, '{key}')" for i, (key, syn) in enumerate(SYNONYMS))
+_SUB_TFIDF = f"""nu AS (SELECT count(*) AS n FROM units),
+tdict AS (SELECT token, ln((n + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY token) t, nu),
+tq0 AS (SELECT query_id, token, (1 + ln(qtf)) * idf AS qw FROM
+   (SELECT query_id, token, count(*) AS qtf FROM
+     (SELECT query_id, unnest({SQL_WORDS.format(text='text')}) AS token FROM ({_SUBS}) tb) b GROUP BY ALL) q JOIN tdict USING (token)),
+tqn AS (SELECT query_id, sqrt(sum(CAST(round(qw * qw * 1e9) AS BIGINT))::DOUBLE / 1e9) AS qn FROM tq0 GROUP BY query_id),
+tqw AS (SELECT query_id, token, qw / qn AS qw FROM tq0 JOIN tqn USING (query_id)),
+tw AS (SELECT item_id, unit_no, token, (1 + ln(tf)) * idf AS w FROM post JOIN tdict USING (token)),
+tn AS (SELECT item_id, unit_no, sqrt(sum(CAST(round(w * w * 1e9) AS BIGINT))::DOUBLE / 1e9) AS dn FROM tw GROUP BY ALL),
+tdots AS (SELECT query_id, item_id, unit_no, sum(CAST(round(qw * (w / dn) * 1e9) AS BIGINT)) AS raw
+   FROM tw JOIN tqw USING (token) JOIN tn USING (item_id, unit_no) GROUP BY ALL),
+tbest AS (SELECT query_id, item_id, max(raw) AS raw FROM tdots WHERE raw > 0 GROUP BY ALL)"""
+
+
+def _sub_top(source: str, name: str, score: str) -> str:
+    return f"""SELECT query_id // 1000 AS query_id, '{name}' AS channel, item_id, max({score}) AS score FROM
+   (SELECT *, max(raw) OVER (PARTITION BY query_id) AS top FROM
+     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rk FROM {source}) r WHERE rk <= 20) t GROUP BY ALL"""
+
+
+@register("multi_query_recall", f"""WITH {_bm25_sql(_SUB_VARIANTS)},
+{_SUB_TFIDF},
+{SQL_QUOTED},
+ch AS ({_sub_top('best', 'bm25', 'raw / top::DOUBLE')} UNION ALL {_sub_top('tbest', 'vector', 'raw / 1e9')}
+   UNION ALL SELECT query_id, 'graph', item_id, 1.0::DOUBLE FROM quoted),
+{_FUSED}
+SELECT query_id, item_id, graph_hit, round(bm25, 6) AS bm25, round(vector, 6) AS vector, round((pb + pv + pg) * 61, 6) AS retrieval_score FROM fused""")
+def multi_query_recall(spark, d):
+    """The sentences of a question as sub-queries: each ranks on its own, an item keeps its best score of each channel."""
+    subs = questions(spark, d).select("query_id", F.posexplode(tx.sentences("text", tx.LATIN_DELIMITERS)).alias("sub", "text"))
+    none = F.lit(None).cast("string").alias("path")
+    bm25 = lx.bm25_sub_search(stored_index(spark, d), subs, 20, SYNONYMS).select("query_id", F.lit("bm25").alias("channel"), "item_id", "score", none)
+    alone = subs.select((F.col("query_id") * 1000 + F.col("sub")).alias("query_id"), "text")
+    vector = lx.tfidf_search(stored_index(spark, d, "features"), alone, 20).select(
+        F.expr("query_id div 1000").alias("query_id"), F.lit("vector").alias("channel"), "item_id", "score", none)
+    graph = quoted_items(spark, d).select(
+        "query_id", F.lit("graph").alias("channel"), "item_id", F.lit(1.0).alias("score"), F.lit("quoted").alias("path"))
+    merged = fusion.merge_variants(bm25.unionByName(vector).unionByName(graph))
+    return fusion.rrf(merged).select("query_id", "item_id", "graph_hit", F.round("bm25", 6).alias("bm25"), F.round("vector", 6).alias("vector"),
+                                     F.round("retrieval_score", 6).alias("retrieval_score"))
+
+
 _MODES = ("tagged AS (SELECT 'hybrid' AS mode, * FROM ch UNION ALL SELECT 'bm25_vector', * FROM ch WHERE channel <> 'graph' "
           "UNION ALL SELECT 'bm25', * FROM ch WHERE channel = 'bm25')")
 _MODE_FUSED = _rrf_sql("mode, query_id", "tagged", "max(CASE mode WHEN 'bm25' THEN 0.42::DOUBLE ELSE (0.42::DOUBLE + 0.33::DOUBLE) END)")
