@@ -5,6 +5,8 @@ Rows carry ``answer, question, ref_texts: array<string>, ref_items: array<string
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +120,43 @@ def unsupported_numbers(conclusion: Column, question: Column, cited_text: Column
     said, asked = F.regexp_extract_all(conclusion, pattern, F.lit(1)), F.regexp_extract_all(question, pattern, F.lit(1))
     stray = F.array_except(said, asked)
     return F.when(cited_text != "", F.filter(stray, lambda n: ~F.contains(cited_text, n))).otherwise(F.array().cast("array<string>"))
+
+
+#: Runs of ideographs, or of letters, that count as a term of a question.
+TERM = "[\u4e00-\u9fa5]{2,}|[A-Za-zÀ-ÿ]{4,}"
+
+
+def zero_overlap(question: Column, cited_text: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """True where a cited text holds none of the terms of the question; a weak sign that it does not support the answer."""
+    terms = F.regexp_extract_all(question, F.lit(f"({TERM})"), F.lit(1))
+    if stopwords:
+        terms = F.array_except(terms, F.array(*[F.lit(w) for w in stopwords]))
+    return (cited_text != "") & (F.size(terms) > 0) & ~F.exists(terms, lambda t: F.contains(cited_text, t))
+
+
+def unsupported_marks(conclusion: Column, question: Column, cited_text: Column, guards: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """Signs that an answer whose citations match is still not supported by them: citation guards, stray numbers, no common term."""
+    interfered = F.filter(guards, lambda g: F.startswith(g, F.lit("citation_")))
+    stray = unsupported_numbers(conclusion, question, cited_text)
+    return F.filter(F.array(
+        F.when(F.size(interfered) > 0, F.concat(F.lit("guard:"), F.array_join(interfered, "/"))),
+        F.when(F.size(stray) > 0, F.concat(F.lit("numbers:"), F.array_join(F.slice(F.array_sort(stray), 1, 5), "/"))),
+        F.when(zero_overlap(question, cited_text, stopwords), F.lit("no common term"))), lambda m: m.isNotNull())
+
+
+def unsupported_sentences(answers: DataFrame, evidence: DataFrame, sentences: Callable[[Column], Column], share: float = 0.5) -> DataFrame:
+    """``(answer_id, pos, sentence)`` of answer sentences of which less than ``share`` of the terms stand in any evidence text.
+
+    ``answers(answer_id, text)`` and ``evidence(answer_id, item_id, text)``.  A sentence meets an evidence text only through a
+    common term of the same answer, so no sentence is paired with texts it shares nothing with.
+    """
+    def terms(text: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
+
+    parts = answers.select("answer_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("terms", terms(F.col("sentence")))
+    parts = parts.where(F.size("terms") > 0)
+    said = parts.select("answer_id", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    held = evidence.select("answer_id", "item_id", F.explode(terms(F.col("text"))).alias("term"))
+    common = said.join(held, ["answer_id", "term"]).groupBy("answer_id", "pos", "n", "item_id").agg(F.count(F.lit(1)).alias("m"))
+    backed = common.where(F.col("m") >= share * F.col("n")).select("answer_id", "pos").distinct()
+    return parts.join(backed, ["answer_id", "pos"], "left_anti").select("answer_id", "pos", "sentence")

@@ -12,6 +12,7 @@ from clausegraph.operators import lexical as lx
 from clausegraph.registry.base import SQL_WORDS, register, spread_table, sql_units, table
 from clausegraph.session import ensure_checkpoint_dir
 from clausegraph.sources.index import StoredIndex
+from clausegraph.sources.vectors import VectorStore
 
 LATIN = tx.LATIN_DELIMITERS
 UNITS = sql_units()
@@ -212,3 +213,24 @@ def index_segments(spark, d):
     index = index.remove(docs.where(half == 1).select(F.col("doc_id").alias("item_id"))).compact()
     index = index.append(units(docs.where(half == 0))).append(units(docs.where(half == 1)))
     return lx.bm25_search(index, questions(spark, d), 5).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+_LETTERS = ("a", "e", "n", "s")
+
+
+@register("vector_store", f"""WITH t AS (SELECT text, min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END) AS generation FROM documents GROUP BY text),
+  calls AS (SELECT generation, count(*) AS n_calls FROM t GROUP BY generation)
+SELECT doc_id, CAST(t.generation AS BIGINT) AS generation, CAST(n_calls AS BIGINT) AS n_calls,
+  {', '.join(f"CAST(length(documents.text) - length(replace(documents.text, '{c}', '')) AS BIGINT) AS n_{c}" for c in _LETTERS)}
+FROM documents JOIN t USING (text) JOIN calls USING (generation)""")
+def vector_store(spark, d):
+    """Vectors of all documents from a store that was filled with a third of them first; ``n_calls`` texts met the model in that generation."""
+    ensure_checkpoint_dir(spark)
+    docs = spread_table(spark, d, "documents").select("doc_id", "text")
+    counts = [(F.char_length("text") - F.char_length(F.replace("text", F.lit(c)))).cast("bigint") for c in _LETTERS]
+    store = VectorStore(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}")
+    for rows in (docs.where("doc_id % 3 = 0"), docs, docs):
+        store = store.upsert(rows, lambda texts: texts.withColumn("vector", F.array(*counts)))
+    calls = store.rows().groupBy("generation").agg(F.count(F.lit(1)).alias("n_calls"))
+    return store.lookup(docs).join(F.broadcast(calls), "generation").select(
+        "doc_id", F.col("generation").cast("bigint").alias("generation"), "n_calls", *[F.col("vector")[i].alias(f"n_{c}") for i, c in enumerate(_LETTERS)])
