@@ -9,7 +9,7 @@ from clausegraph.functions import text as tx
 from clausegraph.registry.base import register, spread_table, table
 from clausegraph.registry.channels import SQL_QUOTED, quoted_items
 from clausegraph.registry.lexical import _PLAIN, _bm25_sql, document_tokens, questions, stored_index
-from clausegraph.sources import corpus
+from clausegraph.sources import corpus, looking_ahead
 
 # ------------------------------------------------------------------ metrics
 
@@ -158,6 +158,38 @@ def html_lines_parser(spark, d):
     return pages.select("page_id", F.size("ls").cast("bigint").alias("n_lines"), F.array_join("ls", "|").alias("body"))
 
 
+_LAW_LINE = """CASE WHEN i % 7 = 0 AND NOT (i = 0 AND page_id % 3 = 0) THEN CASE WHEN page_id % 5 = 2 THEN '第一章 ' || s ELSE '第一章' END
+  WHEN i % 7 = 1 AND page_id % 4 = 1 THEN '第二章' WHEN i % 7 = 2 THEN '第三条 ' || s WHEN i % 7 = 5 THEN '第四条 ' || s ELSE s END"""
+
+
+@register("web_law_articles", f"""WITH p AS (SELECT page_id, {_HTML_LINES} AS ls FROM pages),
+r AS (SELECT page_id, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM p),
+l AS (SELECT page_id, i, {_LAW_LINE} AS s FROM r),
+f AS (SELECT *, regexp_matches(s, '^第[一二三]章') AS head, regexp_matches(s, '^第[一二三]章$') AS bare, regexp_matches(s, '^第[三四]条') AS art FROM l),
+n AS (SELECT *, i - coalesce(max(CASE WHEN NOT bare THEN i END) OVER (PARTITION BY page_id ORDER BY i), -1) AS pos FROM f),
+e AS (SELECT *, coalesce(lag(CASE WHEN bare AND pos % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i), 0) = 1 AS taken FROM n),
+m AS (SELECT *, CASE WHEN taken THEN 't' WHEN head THEN 'h' WHEN art THEN 'a' ELSE '.' END AS mark FROM e),
+g AS (SELECT *, sum(CASE WHEN mark IN ('h', 'a') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS grp,
+  max(CASE WHEN mark = 'h' THEN i END) OVER (PARTITION BY page_id ORDER BY i) AS hi FROM m),
+a AS (SELECT page_id, grp, max(hi) AS hi, min(i) AS at, max(CASE WHEN mark = 'a' THEN left(s, 3) END) AS num,
+  trim(string_agg(CASE WHEN mark = 'a' THEN substring(s, 5) ELSE s END, '' ORDER BY i)) AS body FROM g GROUP BY page_id, grp HAVING max(CASE WHEN mark = 'a' THEN 1 ELSE 0 END) = 1)
+SELECT a.page_id, CAST(row_number() OVER (PARTITION BY a.page_id ORDER BY a.at) - 1 AS BIGINT) AS article_no,
+  CASE WHEN a.hi IS NULL THEN '正文' WHEN h.bare THEN h.s || ' ' || coalesce(t.s, '') ELSE h.s END AS chapter, a.num, a.body
+FROM a LEFT JOIN m h ON h.page_id = a.page_id AND h.i = a.hi LEFT JOIN m t ON t.page_id = a.page_id AND t.i = a.hi + 1""")
+def web_law_articles(spark, d):
+    """The lines of pages under law heads: chapters with and without titles, two bare heads in a row, articles before any chapter."""
+    pages = spread_table(spark, d, "pages").withColumn("ls", corpus.html_lines_sql("html"))
+    page = F.col("page_id")
+
+    def line(s, i):
+        chapter = F.when(page % 5 == 2, F.concat(F.lit("第一章 "), s)).otherwise("第一章")
+        return (F.when((i % 7 == 0) & ~((i == 0) & (page % 3 == 0)), chapter).when((i % 7 == 1) & (page % 4 == 1), "第二章")
+                .when(i % 7 == 2, F.concat(F.lit("第三条 "), s)).when(i % 7 == 5, F.concat(F.lit("第四条 "), s)).otherwise(s))
+
+    laws = looking_ahead.parse_web_law(pages.select("page_id", F.transform("ls", line).alias("lines")), "page_id")
+    return laws.select("page_id", F.col("article_no").cast("bigint").alias("article_no"), "chapter", "num", "body")
+
+
 @register("body_slice", f"""WITH p AS (SELECT page_id, {_HTML_LINES} AS ls FROM pages), q AS (SELECT *, ls[len(ls)] AS last_line, ls[2] AS first_line FROM p),
 a AS (SELECT *, list_position(ls, first_line) AS i FROM q), r AS (SELECT page_id, last_line, list_slice(ls, i, len(ls)) AS tail FROM a WHERE i > 0),
 e AS (SELECT page_id, tail, list_position(tail, last_line) AS j FROM r)
