@@ -158,17 +158,20 @@ def bm25_search(units: DataFrame, queries: DataFrame, k: int = 5, **kw) -> DataF
     return normalized_top(bm25_scores(units, queries, **kw), k).select("query_id", "item_id", "score", "rank")
 
 
+def sub_slots(subs: DataFrame, synonyms: list[tuple[str, str]] = ()) -> DataFrame:
+    """``(query_id, variant, text)`` of ``subs(query_id, sub, text)``: each sub-query and its synonyms in slots of their own."""
+    wide = [F.when(F.contains("text", F.lit(key)), F.lit(syn)) for key, syn in synonyms]
+    variants = subs.select("query_id", "sub", F.posexplode(F.array(F.col("text"), *wide)).alias("place", "text")).where(F.col("text").isNotNull())
+    return variants.select("query_id", (F.col("sub") * (len(synonyms) + 1) + F.col("place")).cast("int").alias("variant"), "text")
+
+
 def bm25_sub_search(units: DataFrame, subs: DataFrame, pool: int, synonyms: list[tuple[str, str]] = (), **kw) -> DataFrame:
     """``(query_id, sub, item_id, score)``: the best items of every sub-query, each list divided by its own best score.
 
     ``subs(query_id, sub, text)`` numbers the sub-queries of a question from 0; synonyms widen each of them.  All
     sub-queries and synonyms of a question are scored in one pass over the postings.
     """
-    width = len(synonyms) + 1
-    wide = [F.when(F.contains("text", F.lit(key)), F.lit(syn)) for key, syn in synonyms]
-    variants = subs.select("query_id", "sub", F.posexplode(F.array(F.col("text"), *wide)).alias("place", "text")).where(F.col("text").isNotNull())
-    slots = variants.select("query_id", (F.col("sub") * width + F.col("place")).cast("int").alias("variant"), "text")
-    scores = bm25_scores(units, slots, per_sub=width, **kw)
+    scores = bm25_scores(units, sub_slots(subs, synonyms), per_sub=len(synonyms) + 1, **kw)
     return normalized_top(scores, pool, ("query_id", "sub")).select("query_id", "sub", "item_id", "score")
 
 
@@ -299,5 +302,5 @@ def _stored_tfidf(index, queries: DataFrame, k: int, tokenizer: tx.Tokenizer, br
 
 __all__ = [
     "attach_dictionary", "bm25_scores", "bm25_search", "bm25_sub_search", "bm25_two_index_search", "expand_queries", "explode_units",
-    "full_postings", "normalized_top", "query_terms", "stored_norms", "tfidf_search", "to_fixed", "tokenized", "variant_slots",
+    "full_postings", "normalized_top", "query_terms", "stored_norms", "sub_slots", "tfidf_search", "to_fixed", "tokenized", "variant_slots",
 ]
