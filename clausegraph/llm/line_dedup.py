@@ -24,6 +24,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 #: Lines of one bucket that are compared in one piece.
 CHUNK = 256
+#: Members of one hub that a task reads.
+SPOKES = 4096
 #: Lines that a task remembers as passed on; more only costs repeated rows.
 SEEN = 200_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -161,17 +163,26 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))[: len(texts)]
 
 
-def bucket_forest(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+def bucket_forest(sets: list[np.ndarray], threshold: float = THRESHOLD, labels: list | None = None) -> list[tuple[int, int]]:
     """Links that connect all lines of a bucket which similar pairs connect, by their shingle sets.
 
     Each line is compared with the lines of every group found so far until one is similar, newest groups last; lines
-    of one group are not compared again.
+    of one group are not compared again.  Lines of one label are known to belong together.
     """
     groups: list[list[int]] = []
     links = []
+    known: dict = {}
     for i, own in enumerate(sets):
-        apart, joined = [], [i]
-        for group in groups:
+        if labels is not None and labels[i] in known:
+            mate = known[labels[i]]
+            home = next(g for g in groups if mate in g)
+            rest = [g for g in groups if g is not home]
+        else:
+            home, rest = [], groups
+        if labels is not None:
+            known.setdefault(labels[i], i)
+        apart, joined = [], [*home, i]
+        for group in rest:
             hit = next((j for j in group if similar(own, sets[j], threshold)), None)
             if hit is None:
                 apart.append(group)
@@ -182,35 +193,70 @@ def bucket_forest(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[
     return links
 
 
+def hub_links(spokes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` of ``spokes(hub, digest)`` of similar lines; ``texts(_g, line)`` has both.
+
+    A task holds one hub's set and streams its members; a hub of more than ``SPOKES`` members is split, with its line repeated.
+    """
+    sizes = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPOKES)).alias("parts"))
+    member = spokes.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "digest")
+    own = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("hub").alias("digest"))
+    full = member.unionByName(own).join(texts, F.col("digest") == F.col("_g")).select("hub", "part", "role", "digest", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            for at, stop in pieces(pc.binary_length(batch.column(4)).to_pylist(), 1 << 20):
+                hub, role, digest, line = (batch.column(i).slice(at, stop - at).to_pylist() for i in (0, 2, 3, 4))
+                links = []
+                for i, words in enumerate(shingle_sets(line)):
+                    if role[i] == 0:  # sorted first
+                        own = words
+                    elif similar(own, words, threshold):
+                        links.append((hub[i], digest[i]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return full.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a binary, b binary")
+
+
 def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges ``(a, b)`` between digests of similar lines, from ``nodes(digest, keys)`` of distinct lines.
 
-    Their text is taken from ``texts(digest, line)``, which may repeat.  Buckets beyond ``CHUNK`` lines are dealt out
-    as pairs of chunks, and every bucket gives a spanning forest and not its pairs.
+    Their text is taken from ``texts(digest, line)``, which may repeat.  The lines of a bucket are compared with its
+    first line, each such pair once over all buckets; buckets that are still in several classes are compared between
+    these.  Those beyond ``CHUNK`` lines are dealt out as pairs of chunks, and a bucket gives links and not its pairs.
     """
     keyed = nodes.select("digest", F.explode("keys").alias("k"))
-    shared = nodes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = cut_table(keyed.join(shared, "k"))
     # lines that share one band often share more: of buckets with the same members one is enough
     marks = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    single = rows.groupBy("k", "n").agg(*marks).groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
-    rows = cut_table(rows.join(single, "k", "left_semi"))
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("hub"), *marks).where("n > 1")
+    shared = shared.groupBy("n", "x0", "x1").agg(F.min("k").alias("k"), F.first("hub").alias("hub")).select("k", "n", "hub")
+    rows = cut_table(keyed.join(shared, "k"))
     wanted = rows.select(F.col("digest").alias("_g")).distinct()
-    found = texts.join(wanted, texts["digest"] == F.col("_g")).groupBy("_g").agg(F.max("line").alias("line"))
+    found = cut_table(texts.join(wanted, texts["digest"] == F.col("_g")).groupBy("_g").agg(F.max("line").alias("line")))
+    # each line meets the first line of its buckets once, however many buckets they share
+    spokes = rows.where("digest != hub").select("hub", "digest").distinct()
+    first = cut_table(hub_links(spokes, found, threshold))
+    labels = components(first).withColumnRenamed("node", "digest")
+    # buckets of two are settled; larger ones meet with their texts only where the first comparisons left several classes
+    marked = rows.where("n > 2").join(labels, "digest", "left").select("k", "digest", "n", F.coalesce("component", "digest").alias("label"))
+    marked = cut_table(marked)
+    open_ = marked.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("k")
+    rows = marked.join(open_, "k", "left_semi")
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
-    tiles = rows.select("k", "digest", chunks.alias("m"), F.pmod(F.xxhash64("digest"), chunks).alias("c"))
+    tiles = rows.select("k", "digest", "label", chunks.alias("m"), F.pmod(F.xxhash64("digest"), chunks).alias("c"))
     tiles = tiles.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    tiles = tiles.select("k", (F.least("c", "d") * F.col("m") + F.greatest("c", "d")).alias("t"), "digest")
-    full = tiles.join(found, tiles["digest"] == found["_g"]).select("k", "t", "digest", "line")
+    tiles = tiles.select("k", (F.least("c", "d") * F.col("m") + F.greatest("c", "d")).alias("t"), "digest", "label")
+    full = tiles.join(found, tiles["digest"] == found["_g"]).select("k", "t", "digest", "line", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = UnionFind()
         now: tuple | None = None
-        bucket: list[tuple[bytes, np.ndarray]] = []
+        bucket: list[tuple[bytes, np.ndarray, bytes]] = []
 
         def close() -> None:
             if len(bucket) > 1:
-                for a, b in bucket_forest([x[1] for x in bucket], threshold):
+                for a, b in bucket_forest([x[1] for x in bucket], threshold, [x[2] for x in bucket]):
                     links.join(bucket[a][0], bucket[b][0])
 
         def out() -> pa.RecordBatch:
@@ -220,19 +266,20 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
 
         for batch in batches:
             for at, stop in pieces(pc.binary_length(batch.column(3)).to_pylist(), 1 << 20):
-                k, t, digest, line = (batch.column(i).slice(at, stop - at).to_pylist() for i in range(4))
+                k, t, digest, line, label = (batch.column(i).slice(at, stop - at).to_pylist() for i in range(5))
                 fresh = dict(zip(digest, line, strict=True))  # a line stands in several buckets
                 sets = dict(zip(fresh, shingle_sets(list(fresh.values())), strict=True))
-                for place, own in zip(zip(k, t, strict=True), digest, strict=True):
+                for place, own, name in zip(zip(k, t, strict=True), digest, label, strict=True):
                     if place != now:
                         close()
                         bucket, now = [], place
-                    bucket.append((own, sets[own]))
+                    bucket.append((own, sets[own], name))
             yield out()
         close()
         yield out()
 
-    return full.repartition("k", "t").sortWithinPartitions("k", "t", "digest").mapInArrow(run, "a binary, b binary")
+    rest = full.repartition("k", "t").sortWithinPartitions("k", "t", "digest").mapInArrow(run, "a binary, b binary")
+    return first.unionByName(rest)
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
