@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from clausegraph.config import Settings
-from clausegraph.operators import gate, understand as un
+from clausegraph.operators import answer as an, gate, understand as un
 from clausegraph.packs import demo, loader, regulation_zh as zh
 from clausegraph.plans import ask as ask_plan, retrieve as plan
 from clausegraph.operators import lexical as lx
@@ -76,6 +76,37 @@ def test_ask_end_to_end(spark):
         assert {r["rank"] for r in got if r["query_id"] == 1} >= {1} and all(0 <= r["score"] for r in got)
 
 
+def test_respond_end_to_end(spark):
+    """Every way out of a response: outside name and topic, bad input, too broad, cited and forced items, drafts, follow-ups."""
+    rows = [("法·第一条", "en", "anea route", "The anea is erat here. Fine of thst and of the staff.", False), ("法·第二条", "en", "staff", "ertion ing the heed with staff", True),
+            ("令·第三条", "fr", "salle", "des eaux aux salle", False)]
+    items = spark.createDataFrame(rows, "item_id string, law string, title string, text string, is_draft boolean").withColumn("law_name", F.upper("law")).withColumn(
+        "num", F.substring_index("item_id", "·", -1))
+    kb = plan.build(items, demo.GRAPH, tx.LATIN_DELIMITERS)
+    packs, zh_extras = ask_plan.regulation(demo.SCENE)
+    assert packs.followup_markers and zh_extras.topics and zh_extras.foreign
+    packs = ask_plan.AskPacks(demo.ROUTE, demo.SCENE, demo.RISK, ["more"])
+    extras = ask_plan.Extras(
+        foreign=zh.FOREIGN_NAMES, topics=zh.OUTSIDE_TOPICS, aliases=[("the code", "法")], core=["法"], forced=[(["salle"], [], ["令·第三条"])],
+        guide=dict(idle=["whatever"], exact=[], exploring=[], concrete=[], generic_subjects=[]), profile=plan.Profile(["en"], [("fr", "salle")]),
+        replies={"refuse_input": "bad input", "refuse_outside": "not held", "guide_broad": "say more"}, followups=[("law", None, "and then?")],
+        fallback_followups=["who?", "and then?"])
+    asked = [(1, "the anea route erat", None), (2, "???", None), (3, "the 民法典 anea", None), (4, "the anea 森林火灾 erat", None), (5, "the whatever anea erat", None),
+             (6, "the code 第二条 anea erat the", None), (7, "the salle anea erat", None), (8, "the 《某某管理办法》 anea", None)]
+    q = spark.createDataFrame(asked, "query_id bigint, text string, prev_text string")
+    out = {r["query_id"]: r for r in ask_plan.respond(kb, q, packs, extras).collect()}
+    assert len(out) == len(asked)
+    assert (out[2]["outcome"], out[2]["reply"]) == ("refuse_input", "bad input")
+    assert [(out[i]["outcome"], out[i]["outside"], out[i]["reply"]) for i in (3, 4, 8)] == [
+        ("refuse_outside", n, "not held") for n in ("民法典", "森林火灾", "某某管理办法")]
+    assert out[5]["outcome"] == "guide_broad" and out[5]["reply"] == "say more"
+    assert {r["item_id"] for r in out[1]["references"]} >= {"法·第一条"} and [r["rank"] for r in out[1]["references"]] == sorted(r["rank"] for r in out[1]["references"])
+    assert out[1]["outcome"] == "answer" and out[1]["reply"].startswith("【结论】") and out[1]["basis"]
+    assert "法·第二条" in {r["item_id"] for r in out[6]["references"]} and an.DRAFT_NOTICE in (out[6]["supplement"] or an.DRAFT_NOTICE)
+    assert "令·第三条" in {r["item_id"] for r in out[7]["references"]}
+    assert out[1]["follow_ups"][0] in ("and then?", "who?") and len(set(out[1]["follow_ups"])) == len(out[1]["follow_ups"])
+
+
 def test_empty_inputs(spark):
     units = lx.tokenized(spark.createDataFrame([], "part string, item_id bigint, unit_no int, unit string"))
     q = spark.createDataFrame([], "query_id bigint, text string")
