@@ -226,12 +226,17 @@ def similar_lines(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHO
     first line, each such pair once over all buckets; buckets that are still in several classes are compared between
     these.  Those beyond ``CHUNK`` lines are dealt out as pairs of chunks, and a bucket gives links and not its pairs.
     """
-    keyed = nodes.select("digest", F.explode("keys").alias("k"))
-    # lines that share one band often share more: of buckets with the same members one is enough
-    marks = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("hub"), *marks).where("n > 1")
-    shared = shared.groupBy("n", "x0", "x1").agg(F.min("k").alias("k"), F.first("hub").alias("hub")).select("k", "n", "hub")
+    # numbers stand for digests until few rows are left; two digests of one number both come back
+    keyed = nodes.select(F.xxhash64("digest").alias("h"), F.explode("keys").alias("k"))
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = cut_table(keyed.join(shared, "k"))
+    # lines that share one band often share more: of buckets with the same members one is enough
+    marks = [F.bit_xor(F.xxhash64("h", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    single = rows.groupBy("k", "n").agg(*marks).groupBy("n", "x0", "x1").agg(F.min("k").alias("k")).select("k")
+    rows = rows.join(single, "k", "left_semi")
+    named = rows.join(nodes.select("digest", F.xxhash64("digest").alias("h")), "h").drop("h")
+    hubs = named.groupBy("k").agg(F.min("digest").alias("hub"))
+    rows = cut_table(named.join(hubs, "k"))
     wanted = rows.select(F.col("digest").alias("_g")).distinct()
     found = cut_table(texts.join(wanted, texts["digest"] == F.col("_g")).groupBy("_g").agg(F.max("line").alias("line")))
     # each line meets the first line of its buckets once, however many buckets they share
