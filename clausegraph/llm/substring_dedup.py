@@ -1,4 +1,7 @@
-"""Repeated passages: runs of more than 50 words that occur before in the corpus, found by winnowed seeds and exact word windows."""
+"""Repeated lines and passages: normalised units grouped by their digests, the earliest occurrence stays, offsets are kept.
+
+Units are whole lines of ``LINE_WORDS`` words and more, and, for passages that start and end in mid-sentence, the word windows at
+content-defined places."""
 
 from __future__ import annotations
 
@@ -12,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegraph.llm.common import cut_table, spread_rows
+from clausegraph.llm.mixing import global_rank
 
-#: Words of a passage at least.
-MIN_WORDS = 51
+#: Words of a passage at least, and of a line that is a unit of its own: shorter lines are phrases that clean texts share.
+MIN_WORDS, LINE_WORDS = 51, 25
+#: A place in the corpus is one number: that of the text, then the word in this many bits (a text of that many words exceeds a cell).
+PLACE_BITS = 27
 WORD = re.compile(r"\S+")
 #: Multipliers of the two parts (64 and 32 bits) of a window's hash; seeds use the first.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -63,120 +69,175 @@ def slim_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).cast("string").alias("text"))
 
 
-def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, row, digest, words, start, stop, pos, h)`` of every text of ``min_words`` words and more.
+def line_units(value: str, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(first word, words, the two hashes)`` of the lines of ``least`` words and more."""
+    sizes = np.array([len(line.split()) for line in value.split("\n")], np.int64)
+    stops = np.cumsum(sizes)
+    held = sizes >= least
+    first, size = (stops - sizes)[held], sizes[held]
+    hashes = []
+    for factor in FACTORS:
+        up = np.multiply.accumulate(np.full(len(words), factor, np.uint64))
+        down = np.multiply.accumulate(np.full(len(words) + 1, pow(factor, -1, 1 << 64), np.uint64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)))
+        h = (sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(FACTORS[0])
+        hashes.append(h ^ (h >> np.uint64(29)))
+    return first, size, hashes
+
+
+def halves(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of two hashes."""
+    return first.view(np.int64), second.astype(np.uint32).view(np.int32)
+
+
+def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """``(doc_id, row, digest, words, pos, h, lines)`` of every text with words enough for a unit.
 
-    ``row`` tells rows with one key apart by their text, ``digest`` is of the words in lower case, ``start`` and
-    ``stop`` bound the words in the text, and ``pos`` and ``h`` list its selected seeds.
+    ``row`` tells rows with one key apart by their text, ``digest`` is of the words in lower case, ``pos`` and ``h`` list its
+    selected seeds, and ``lines`` the place, words and hashes of its line units.
     """
     kind = docs.schema[key].dataType.simpleString()
+    line_type = pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                take, rows, places, hashes = [], [], [], []
+                take, rows, places, hashes, lines = [], [], [], [], []
                 for i, value in enumerate(batch.column(2)):
                     value = value.as_py() or ""
                     words = word_hashes(value)
-                    if len(words) < min_words:
+                    if len(words) < min(min_words, line_words):
                         continue
+                    if len(words) >= 1 << PLACE_BITS:
+                        raise ValueError("a text has too many words")
                     grams, smallest = seeds_of(words, min_words)
                     pos = np.unique(smallest)
+                    first, size, both = line_units(value, words, line_words)
                     take.append(i)
                     places.append(pos.astype(np.int32))
-                    hashes.append(grams[pos].view(np.int64))
-                    rows.append((xxhash.xxh3_128_digest(words.tobytes()), len(words), len(value) - len(value.lstrip()), len(value.rstrip())))
+                    hashes.append(grams[pos].view(np.int64) if len(pos) else np.zeros(0, np.int64))
+                    lines.append((first.astype(np.int32), size.astype(np.int32), *halves(*both)))
+                    rows.append((xxhash.xxh3_128_digest(words.tobytes()), len(words)))
                 cuts = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
                 flat = [pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in ((places, np.int32), (hashes, np.int64))]
+                line_cuts = pa.array(np.cumsum([0, *(len(x[0]) for x in lines)]).astype(np.int32))
+                line_flat = [pa.array(np.concatenate([x[i] for x in lines]) if lines else np.zeros(0, np.int64), line_type.field(i).type) for i in range(4)]
                 numbers = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(numbers), batch.column(1).take(numbers), pa.array([r[0] for r in rows], pa.binary()),
-                     *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)], *[pa.ListArray.from_arrays(cuts, x) for x in flat]],
-                    ["doc_id", "row", "digest", "words", "start", "stop", "pos", "h"])
+                    [batch.column(0).take(numbers), batch.column(1).take(numbers), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()),
+                     *[pa.ListArray.from_arrays(cuts, x) for x in flat],
+                     pa.ListArray.from_arrays(line_cuts, pa.StructArray.from_arrays(line_flat, fields=list(line_type)))],
+                    ["doc_id", "row", "digest", "words", "pos", "h", "lines"])
 
     return spread_rows(slim_rows(docs, key, text)).mapInArrow(
-        run, f"doc_id {kind}, row long, digest binary, words int, start int, stop int, pos array<int>, h array<long>")
+        run, f"doc_id {kind}, row long, digest binary, words int, pos array<int>, h array<long>, lines array<struct<pos:int,n:int,h1:long,h2:int>>")
 
 
-def windows(marked: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """``(doc_id, row, pos, start, stop, h1, h2)`` of the windows whose smallest seed is in ``marked(doc_id, row, text, places)``."""
+def windows(marked: DataFrame, min_words: int) -> DataFrame:
+    """``(place, n, h1, h2)`` of the windows whose smallest seed is in ``marked(ord, text, places)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                take, found = [], []
+                found = []
                 for i in range(batch.num_rows):
-                    value = batch.column(2)[i].as_py()
-                    words = word_hashes(value)
+                    words = word_hashes(batch.column(1)[i].as_py())
                     _, smallest = seeds_of(words, min_words)
-                    pos = np.flatnonzero(np.isin(smallest, batch.column(3)[i].values.to_numpy()))
-                    spans = np.array([m.span() for m in WORD.finditer(value)], np.int32)
-                    halves = [gram_hashes(words, min_words, f)[pos] for f in FACTORS]
-                    halves = [halves[0].view(np.int64), halves[1].astype(np.uint32).view(np.int32)]
-                    take.append(np.full(len(pos), i))
-                    found.append((pos.astype(np.int32), spans[pos, 0], spans[pos + min_words - 1, 1], *halves))
-                numbers = pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))
-                flat = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers), batch.column(1).take(numbers), *flat],
-                                                 ["doc_id", "row", "pos", "start", "stop", "h1", "h2"])
+                    pos = np.flatnonzero(np.isin(smallest, batch.column(2)[i].values.to_numpy()))
+                    found.append(((batch.column(0)[i].as_py() << PLACE_BITS) + pos, *halves(*(gram_hashes(words, min_words, f)[pos] for f in FACTORS))))
+                place, h1, h2 = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([place, pa.array(np.full(len(place), min_words, np.int32)), h1, h2], ["place", "n", "h1", "h2"])
+
+    return marked.select("ord", "text", "places").mapInArrow(run, "place long, n int, h1 long, h2 int")
+
+
+def with_offsets(rows: DataFrame, kind: str) -> DataFrame:
+    """``(doc_id, row, start, stop, words, first_doc_id)`` from ``rows(doc_id, row, text, spans)``: words become characters of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                take, made = [], []
+                for i in range(batch.num_rows):
+                    ends = [m.span() for m in WORD.finditer(batch.column(2)[i].as_py())]
+                    for span in batch.column(3)[i].as_py():
+                        take.append(i)
+                        made.append((ends[span["a"]][0], ends[span["b"] - 1][1], span["b"] - span["a"], span["first_doc_id"]))
+                numbers = pa.array(take, pa.int64())
+                id_type = batch.schema.field(0).type
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(numbers), batch.column(1).take(numbers), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int32()),
+                     pa.array([m[2] for m in made], pa.int64()), pa.array([m[3] for m in made], id_type)], ["doc_id", "row", "start", "stop", "words", "first_doc_id"])
 
-    return marked.select("doc_id", "row", "text", "places").mapInArrow(
-        run, f"doc_id {kind}, row long, pos int, start int, stop int, h1 long, h2 int")
+    return rows.select("doc_id", "row", "text", "spans").mapInArrow(run, f"doc_id {kind}, row long, start int, stop int, words long, first_doc_id {kind}")
 
 
 def same_row(key: str = "_key", row: str = "_row") -> Column:
     return F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("row") == F.col(row))
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, row, start, stop, words, first_doc_id)``: every later occurrence of a passage, by offsets in its text.
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """``(doc_id, row, start, stop, words, first_doc_id)``: every later occurrence of a line or passage, by offsets in its text.
 
-    Passages are runs of words, compared in lower case, of which every ``min_words`` in a row occur before: in a row
-    with a smaller key (null last) or at a smaller position of the same text, without overlap.  They may start and
-    end anywhere.  ``first_doc_id`` holds the first occurrence of the passage's first ``min_words`` words.
+    Words are compared in lower case, whatever white space is between them.  A line of ``line_words`` words or more goes if it
+    stands before: in a row with a smaller key (null last) or earlier in the same text.  Passages are runs of words of
+    which every ``min_words`` in a row occur before, without overlap in the same text; they may start and end anywhere.
+    What touches is one passage; ``first_doc_id`` holds the first occurrence of its first unit.
 
-    All such runs are found.  Of every window of ``min_words`` words the smallest seed is looked up over the corpus
-    (2 of 27 words start a selected seed); only windows whose seed occurs twice are hashed and joined, so what is
-    shuffled follows the repeated text.  Whole copies of a text are told by their digest and hash no windows.
+    All of these are found.  Of every window of ``min_words`` words the smallest seed is looked up over the corpus
+    (2 of 27 words start a selected seed); only windows whose seed occurs twice are hashed and grouped, so what is
+    shuffled follows the repeated text.  Whole copies of a text are told by their digest and have no units.
     Null texts have no words; rows alike in key and text occur at one place and do not repeat each other; other
     columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
-    every = cut_table(seeds(docs, key, text, min_words))
-    origin = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    owners = every.groupBy("digest").agg(F.min(origin).alias("first"), F.max(origin).alias("last")).where("first != last").select("digest", "first")
-    copies = cut_table(every.select("doc_id", "row", "digest", "words", "start", "stop").join(owners, "digest").where(~origin.eqNullSafe(F.col("first"))))
-    # a whole copy has the same seeds at the same places: one occurrence
-    each = every.select("doc_id", "row", "digest", F.explode(F.arrays_zip("pos", "h")).alias("s")).select(
-        "doc_id", "row", "s.pos", "s.h", F.xxhash64("digest", "s.pos").alias("at"))
-    twice = each.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high").select("h")
-    marked = each.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("places"))
-    gone = copies.select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"))
-    marked = marked.join(gone, same_row(), "left_anti").select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "places")
-    found = cut_table(windows(slim_rows(docs, key, text).join(marked, same_row()), kind, min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-    again = found.join(first, ["h1", "h2"]).where(~own | (F.col("pos") >= F.col("first.pos") + min_words))
-    again = again.select("doc_id", "row", "pos", "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id", "row").orderBy("pos")
-    apart = F.coalesce((F.col("pos") > F.lag("pos").over(order) + min_words).cast("int"), F.lit(1))
-    runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    passages = runs.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + min_words).cast("long").alias("words"),
-        F.min_by("first_doc_id", "pos").alias("first_doc_id")).drop("run")
-    return passages.unionByName(copies.select("doc_id", "row", "start", "stop", F.col("words").cast("long").alias("words"), F.col("first.doc_id").alias("first_doc_id")))
-
-
-def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, text, removed, first_doc_ids)`` for the rows that lose a passage.
+    raw = cut_table(seeds(docs, key, text, min_words, line_words))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
+    numbered = global_rank(raw.select("doc_id", "row", "digest", "words").distinct(), order, "ord")
+    first = F.min("ord").alias("first")
+    owners = numbered.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    numbered = cut_table(numbered.join(owners, "digest", "left").select("doc_id", "row", "ord", "words", F.when(F.col("first") != F.col("ord"), F.col("first")).alias("first")))
+    names = numbered.select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "ord")
+    alone = numbered.where("first IS NULL").select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "ord")
+    every = raw.join(alone, same_row()).select("ord", "pos", "h", "lines")
+    every = cut_table(every)
+    place = F.shiftleft(F.col("ord"), PLACE_BITS)
+    each = every.select("ord", F.explode(F.arrays_zip("pos", "h")).alias("s")).select("ord", "s.pos", "s.h")
+    spot = F.shiftleft(F.col("ord"), PLACE_BITS) + F.col("pos")
+    twice = each.groupBy("h").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low != high").select("h")
+    marked = each.join(twice, "h", "left_semi").groupBy("ord").agg(F.collect_list("pos").alias("places"))
+    marked = marked.join(names, "ord")
+    found = windows(slim_rows(docs, key, text).join(marked, same_row()), min_words)
+    lines = every.select("ord", F.explode("lines").alias("l")).select((place + F.col("l.pos")).alias("place"), F.col("l.n").alias("n"), F.col("l.h1").alias("h1"),
+                                                                      F.bitwise_not(F.col("l.h2")).alias("h2"))  # never equal to a window
+    units = cut_table(found.unionByName(lines))
+    firsts = units.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("h1", "h2", "first")
+    own = F.shiftright("place", PLACE_BITS) == F.shiftright("first", PLACE_BITS)
+    again = units.join(firsts, ["h1", "h2"]).where((F.col("place") != F.col("first")) & (~own | (F.col("place") >= F.col("first") + F.col("n"))))
+    word = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    again = again.select(F.shiftright("place", PLACE_BITS).alias("ord"), word.alias("a"), (word + F.col("n")).alias("b"), F.shiftright("first", PLACE_BITS).alias("from"))
+    by = Window.partitionBy("ord").orderBy("a", "b")
+    apart = F.coalesce((F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    passages = runs.groupBy("ord", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.struct("a", "from"))["from"].alias("from")).drop("run")
+    copies = numbered.where("first IS NOT NULL").select("ord", F.lit(0).cast("long").alias("a"), F.col("words").cast("long").alias("b"), F.col("first").alias("from"))
+    gone = passages.unionByName(copies).join(numbered.select(F.col("ord").alias("from"), F.col("doc_id").alias("first_doc_id")), "from")
+    spans = gone.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first_doc_id"))).alias("spans")).join(names, "ord")
+    return with_offsets(slim_rows(docs, key, text).join(spans, same_row()), kind).distinct()  # rows alike
+
+
+def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """``(doc_id, text, removed, first_doc_ids)`` for the rows that lose a line or passage.
 
     ``text`` is what remains, ``removed`` lists ``(start, stop, words, first_doc_id)`` by offset in the original text
     (characters), ``first_doc_ids`` the keys of the texts that keep the passages.
     """
-    passages = repeated_passages(docs, key, text, min_words).groupBy("doc_id", "row").agg(
+    passages = repeated_passages(docs, key, text, min_words, line_words).groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop", "words", "first_doc_id"))).alias("removed"))
     source = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_row"), F.col(text).alias("_text"))
     joined = passages.join(source, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")))
