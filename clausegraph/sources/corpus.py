@@ -49,7 +49,8 @@ def read_laws(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     laws = _scan_laws(spark, paths)
     blank = F.lit("")
     status = F.trim(F.coalesce("status", blank))
-    return laws.where(F.col("chapters").isNotNull()).drop("_corrupt_record", "path").withColumns({
+    named = laws.where(F.col("chapters").isNotNull()).withColumn("source_file", F.substring_index("path", "/", -1))
+    return named.drop("_corrupt_record", "path").withColumns({
         "law_name": F.coalesce("law_name", "law_abbr"), "status": F.when(status == "", IN_FORCE).otherwise(status),
         **{c: F.coalesce(c, blank) for c in ("notes", "issued_date", "effective_date", "document_no", "authority", "source_url")}})
 
@@ -65,18 +66,24 @@ def source_catalog(laws: DataFrame) -> DataFrame:
 
 
 def articles(laws: DataFrame) -> DataFrame:
-    """One row per article; of equal keys the last one of its law counts."""
-    rows = laws.select(F.col("law_abbr").alias("law"), "law_name", "authority", "effective_date", "status", "notes", "source_url",
+    """One row per article; of equal keys the last one counts, in the order of file names, then of the law."""
+    file = F.col("source_file") if "source_file" in laws.columns else F.lit("").alias("source_file")
+    rows = laws.select(file, F.col("law_abbr").alias("law"), "law_name", "authority", "effective_date", "status", "notes", "source_url",
                        "issued_date", "document_no", F.posexplode("chapters").alias("_c", "ch"))
     rows = rows.select("*", F.posexplode("ch.articles").alias("_a", "art")).withColumn(
         "item_id", F.concat_ws("·", "law", "art.num"))
     flat = rows.select("item_id", "law", "law_name", "authority", "effective_date", "status", "notes", "source_url", "issued_date",
                        "document_no", F.col("ch.chapter_title").alias("chapter"), F.col("art.title").alias("title"),
-                       F.col("art.text").alias("text"), F.struct("_c", "_a").alias("_seq"))
+                       F.col("art.text").alias("text"), F.struct("source_file", "_c", "_a").alias("_seq"))
     rest = [c for c in flat.columns if c not in ("item_id", "_seq")]
     return flat.groupBy("item_id").agg(F.max_by(F.struct(*rest), "_seq").alias("r")).select("item_id", "r.*")
 
 
+def law_of(item_id: Column | str) -> Column:
+    """The law of an item key ``law·number``; a key without a number is a law itself."""
+    return F.substring_index(item_id, "·", 1)
+
+
 def chunks(articles_: DataFrame, delimiters: str = tx.CJK_DELIMITERS) -> DataFrame:
     """Sentence chunks with the metadata of their article."""
     return articles_.select("*", F.posexplode(tx.sentences("text", delimiters)).alias("unit_no", "unit")).withColumns({

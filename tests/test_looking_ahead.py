@@ -77,3 +77,16 @@ def test_sections_with_chapters(spark):
     assert got == {i: plain_sections(ls) for i, ls in lines.items() if ls and plain_sections(ls)}
     assert any(c.endswith("条款") for rows in got.values() for c, _, _ in rows) and any("一般要求" in c for rows in got.values() for c, _, _ in rows)
     assert lines[300] == ["1 范围", "1.1 " + long, "1.2 " + long]
+
+
+def test_equal_keys_of_two_files(spark, tmp_path):
+    """Of equal keys the one in the later file counts, however the files are read."""
+    import json
+
+    from clausegraph.sources import corpus
+    for name, text in (("b.json", "second"), ("a.json", "first"), ("c.json", None)):
+        chapters = [{"chapter_title": "一", "articles": [{"num": "第一条", "title": "", "text": text}]}] if text else None
+        (tmp_path / name).write_text(json.dumps({"law_name": "L", "law_abbr": "法", "chapters": chapters}, ensure_ascii=False))
+    for paths in ([str(tmp_path / "*.json")], [str(tmp_path / "b.json"), str(tmp_path / "a.json")]):
+        rows = corpus.articles(corpus.read_laws(spark, paths)).select("item_id", "text", corpus.law_of("item_id").alias("law_key")).collect()
+        assert [tuple(r) for r in rows] == [("法·第一条", "second", "法")]
