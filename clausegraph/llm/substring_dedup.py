@@ -181,6 +181,23 @@ def same_row(key: str = "_key", row: str = "_row") -> Column:
     return F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("row") == F.col(row))
 
 
+def numbered_texts(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, row, digest, words, ord)`` once a text, and ``raw`` with ``ord``: the texts in order of key (null last) and ``row``.
+
+    Whole keys that are small enough and belong to one text each are such numbers themselves; others are ranked.
+    """
+    slim = raw.select("doc_id", "row", "digest", "words").distinct()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        held = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.max("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+        if held["n"] == 1 and not held["nulls"] and held["low"] >= 0 and held["high"] < 1 << (63 - PLACE_BITS):
+            number = F.col("doc_id").cast("long")
+            return slim.withColumn("ord", number), raw.withColumn("ord", number)
+    slim = cut_table(global_rank(slim, [F.col("doc_id").asc_nulls_last(), F.col("row").asc()], "ord"))
+    names = slim.select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "ord")
+    return slim, cut_table(raw.join(names, same_row()).select("digest", "pos", "h", "lines", "ord"))
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """``(doc_id, row, start, stop, words, first_doc_id)``: every later occurrence of a line or passage, by offsets in its text.
 
@@ -197,25 +214,22 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[key].dataType.simpleString()
     raw = cut_table(seeds(docs, key, text, min_words, line_words))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
-    numbered = global_rank(raw.select("doc_id", "row", "digest", "words").distinct(), order, "ord")
+    numbered, every = numbered_texts(raw, kind)
     first = F.min("ord").alias("first")
     owners = numbered.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     numbered = cut_table(numbered.join(owners, "digest", "left").select("doc_id", "row", "ord", "words", F.when(F.col("first") != F.col("ord"), F.col("first")).alias("first")))
     names = numbered.select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "ord")
     alone = numbered.where("first IS NULL").select(F.col("doc_id").alias("_key"), F.col("row").alias("_row"), "ord")
-    every = raw.join(alone, same_row()).select("ord", "pos", "h", "lines")
-    every = cut_table(every)
-    place = F.shiftleft(F.col("ord"), PLACE_BITS)
-    each = every.select("ord", F.explode(F.arrays_zip("pos", "h")).alias("s")).select("ord", "s.pos", "s.h")
-    spot = F.shiftleft(F.col("ord"), PLACE_BITS) + F.col("pos")
-    twice = each.groupBy("h").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low != high").select("h")
-    marked = each.join(twice, "h", "left_semi").groupBy("ord").agg(F.collect_list("pos").alias("places"))
-    marked = marked.join(names, "ord")
+    # a whole copy has the same seeds at the same places: one occurrence
+    each = every.select("ord", "digest", F.explode(F.arrays_zip("pos", "h")).alias("s")).select("ord", "s.pos", "s.h", F.xxhash64("digest", "s.pos").alias("at"))
+    twice = each.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high").select("h")
+    marked = each.select("ord", "pos", "h").join(twice, "h", "left_semi").groupBy("ord").agg(F.collect_list("pos").alias("places"))
+    marked = cut_table(marked.join(alone, "ord"))
     found = windows(slim_rows(docs, key, text).join(marked, same_row()), min_words)
-    lines = every.select("ord", F.explode("lines").alias("l")).select((place + F.col("l.pos")).alias("place"), F.col("l.n").alias("n"), F.col("l.h1").alias("h1"),
-                                                                      F.bitwise_not(F.col("l.h2")).alias("h2"))  # never equal to a window
-    units = cut_table(found.unionByName(lines))
+    place = F.shiftleft(F.col("ord"), PLACE_BITS)
+    lines = every.select("ord", "lines").join(alone.select("ord"), "ord", "left_semi").select("ord", F.explode("lines").alias("l")).select(
+        (place + F.col("l.pos")).alias("place"), F.col("l.n").alias("n"), F.col("l.h1").alias("h1"), F.bitwise_not(F.col("l.h2")).alias("h2"))  # never equal to a window
+    units = found.unionByName(lines)  # read twice, from one exchange: less disk than a table of its own
     firsts = units.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("h1", "h2", "first")
     own = F.shiftright("place", PLACE_BITS) == F.shiftright("first", PLACE_BITS)
     again = units.join(firsts, ["h1", "h2"]).where((F.col("place") != F.col("first")) & (~own | (F.col("place") >= F.col("first") + F.col("n"))))
