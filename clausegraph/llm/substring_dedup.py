@@ -137,7 +137,7 @@ def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
 
 
 def windows(marked: DataFrame, min_words: int) -> DataFrame:
-    """``(place, n, h1, h2)`` of the windows whose smallest seed is in ``marked(ord, text, places)``."""
+    """``(place, h1, hn)`` of the windows whose smallest seed is in ``marked(ord, text, places)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,10 +149,10 @@ def windows(marked: DataFrame, min_words: int) -> DataFrame:
                     _, smallest = seeds_of(words, min_words)
                     pos = np.flatnonzero(np.isin(smallest, batch.column(2)[i].values.to_numpy()))
                     found.append(((batch.column(0)[i].as_py() << PLACE_BITS) + pos, *halves(*(gram_hashes(words, min_words, f)[pos] for f in FACTORS))))
-                place, h1, h2 = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([place, pa.array(np.full(len(place), min_words, np.int32)), h1, h2], ["place", "n", "h1", "h2"])
+                place, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, h1, (h2.astype(np.int64) << 32) | min_words)], ["place", "h1", "hn"])
 
-    return marked.select("ord", "text", "places").mapInArrow(run, "place long, n int, h1 long, h2 int")
+    return marked.select("ord", "text", "places").mapInArrow(run, "place long, h1 long, hn long")
 
 
 def with_offsets(rows: DataFrame, kind: str) -> DataFrame:
@@ -228,13 +228,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = windows(slim_rows(docs, key, text).join(marked, same_row()), min_words)
     place = F.shiftleft(F.col("ord"), PLACE_BITS)
     lines = every.select("ord", "lines").join(alone.select("ord"), "ord", "left_semi").select("ord", F.explode("lines").alias("l")).select(
-        (place + F.col("l.pos")).alias("place"), F.col("l.n").alias("n"), F.col("l.h1").alias("h1"), F.bitwise_not(F.col("l.h2")).alias("h2"))  # never equal to a window
+        (place + F.col("l.pos")).alias("place"), F.col("l.h1").alias("h1"),
+        F.shiftleft(F.bitwise_not(F.col("l.h2")).cast("long"), 32).bitwiseOR(F.col("l.n").cast("long")).alias("hn"))
     units = found.unionByName(lines)  # read twice, from one exchange: less disk than a table of its own
-    firsts = units.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("h1", "h2", "first")
+    firsts = units.groupBy("h1", "hn").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("h1", "hn", "first")
     own = F.shiftright("place", PLACE_BITS) == F.shiftright("first", PLACE_BITS)
-    again = units.join(firsts, ["h1", "h2"]).where((F.col("place") != F.col("first")) & (~own | (F.col("place") >= F.col("first") + F.col("n"))))
+    size = F.col("hn").bitwiseAND(F.lit((1 << 32) - 1))
+    again = units.join(firsts, ["h1", "hn"]).where((F.col("place") != F.col("first")) & (~own | (F.col("place") >= F.col("first") + size)))
     word = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    again = again.select(F.shiftright("place", PLACE_BITS).alias("ord"), word.alias("a"), (word + F.col("n")).alias("b"), F.shiftright("first", PLACE_BITS).alias("from"))
+    again = again.select(F.shiftright("place", PLACE_BITS).alias("ord"), word.alias("a"), (word + size).alias("b"), F.shiftright("first", PLACE_BITS).alias("from"))
     by = Window.partitionBy("ord").orderBy("a", "b")
     apart = F.coalesce((F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
