@@ -429,9 +429,9 @@ def all_spans(texts: list[str], field: ShapeField) -> list[tuple[list, list]]:
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)``, one row per row of ``docs``.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, base_spans)``, one row per row of ``docs``.
 
-    The fixed patterns give the base spans, whose list ``base_sha256`` digests.  The field labels the tokens of the
+    The fixed patterns give the base spans, whose list ``base_spans`` is digested as ``base_sha256``.  The field labels the tokens of the
     whole text and adds spans that the patterns miss (numbers that stand next to each other, other ways to write
     them); base spans stay.  The counts are those of all spans, ``n_added`` of them added ones.  The field is trained
     on the driver from ``labelled_rows`` alone, so a row's result depends on its text only.  Null and empty texts have
@@ -451,17 +451,19 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 found = all_spans(texts, field)
+                plain = [listed(base) for base, _ in found]
                 counts = np.zeros((len(texts), len(KINDS)), np.int64)
                 for i, (base, more) in enumerate(found):
                     for k, _, _ in base + more:
                         counts[i, k] += 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), *[pa.array(counts[:, k]) for k in range(len(KINDS))],
-                     pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]),
-                     pa.array([listed(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64())],
-                    ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+                     pa.array([hashlib.sha256(b.encode()).hexdigest() for b in plain], pa.string()),
+                     pa.array([listed(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64()),
+                     pa.array(plain, pa.string())],
+                    ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "base_spans"])
                 at += len(texts)
 
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, base_spans string"
     return spread_rows(slim).mapInArrow(run, schema)

@@ -103,3 +103,19 @@ def test_decoding_finds_the_best_path():
             own = sum(field.weights[int(f[1:]), s] for token, s in zip(run, states, strict=True) for f in token)
             return own + sum(field.steps[a, b] for a, b in itertools.pairwise([0, *states, 0]))
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(9), repeat=len(run)))))
+
+
+def test_query_counts_base_spans(spark, tmp_path):
+    from clausegraph.llm.queries import QUERIES
+
+    texts = ["und +1 (269) 555-3296 4524132264652876 and", "write to jane.roe [at] mail [dot] example [dot] com now", "ring (212) 555-0147 today", None,
+             "a@b.co 10.0.0.1 4111111111111111", "a@b.co, c@d.co; +1 212 555 0147"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op13_personal_data"](spark, str(tmp_path)).collect()
+    assert sum(r.n_added for r in rows) >= 3
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in personal_data.KINDS] == [sum(s[0] == k for s in base) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(personal_data.listed(base).encode()).hexdigest()
+        assert len(r.spans.split(",")) - (r.spans == "") == len(base) + r.n_added
