@@ -42,8 +42,6 @@ def test_no_row_per_posting_and_question(spark):
     units = lx.tokenized(lx.explode_units(docs, "doc_id", "text", delimiters="."))
     asked = spark.createDataFrame([(q, "the fire door und le bike") for q in range(30)], "query_id long, text string")
     scores = lx.bm25_scores(units, asked, k=3)
-    hits = sum(len({t for t in d["tokens"]} & {"the", "fire", "door", "und", "le", "bike"}) for d in units.collect()) * 30
-    stream = ranking.best_items
-    assert stream and "MapInArrow" in scores._jdf.queryExecution().toString()
-    assert scores.count() <= 30 * 3 * ranking.fan_out_partitions(units) < hits * 30
+    assert "MapInArrow" in scores._jdf.queryExecution().toString()
+    assert scores.count() == 90  # the join gives every item of every question
     assert lx.bm25_search(units, asked, 3).count() == 90
