@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.session import cut_lineage, ensure_checkpoint_dir
+from clausegraph.session import cut_lineage, cut_table  # noqa: F401  cut_table: for the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words are runs of anything but ASCII white space.
@@ -26,19 +24,6 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read again.
-
-    Smaller than a checkpoint, for wide intermediate rows.  The folder belongs to the job's checkpoints and goes
-    with them when the operator of the cluster clears it.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` with the smallest node of each connected component, for nodes with an edge.
 

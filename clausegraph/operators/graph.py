@@ -15,7 +15,7 @@ from clausegraph.functions.exact import to_fixed
 from clausegraph.operators.lexicon import PhraseMatcher, contains_join
 from clausegraph.operators.scale import first_by, fits, lookup_join, top_per_key
 from clausegraph.packs.base import GraphPack
-from clausegraph.session import cut_lineage
+from clausegraph.session import cut_lineage, cut_table
 
 EDGE_KEY = ["source", "target", "relation", "item_id"]
 
@@ -118,7 +118,7 @@ def theme_edges(edges: DataFrame, nodes: DataFrame, pack: GraphPack) -> DataFram
     """Theme→behavior edges, placed on the item of the behavior's first edge."""
     order = ["pass", "item_id", "pos", "ord"]
     ends = edges.withColumn("node", F.explode(F.array("source", "target")))
-    firsts = ends.groupBy("node").agg(F.min(F.struct(*order, "law")).alias("f"))
+    firsts = cut_lineage(ends.groupBy("node").agg(F.min(F.struct(*order, "law")).alias("f")))  # one row a node, read up to four times
     themes = nodes.where(F.col("type") == pack.theme_type)
     wanted = themes.select(F.col("id").alias("source"), F.posexplode("behaviors").alias("ord", "name"))
     behaviors = nodes.where(F.col("type").isin(*pack.behavior_kinds)).select(F.col("id").alias("node"), "name")

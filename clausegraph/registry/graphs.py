@@ -9,6 +9,7 @@ from clausegraph.operators import graph as gx
 from clausegraph.packs.demo import GRAPH as PACK
 from clausegraph.registry.base import register, spread_table, sql_units, table
 from clausegraph.registry.lexical import questions
+from clausegraph.session import cut_table
 
 # ------------------------------------------------------------------ text graph
 
@@ -126,7 +127,7 @@ def penalty_propagation(spark, d):
 
 @register("theme_link", f"WITH {SQL_EDGES} SELECT source, target, item_id, law FROM e3")
 def theme_link(spark, d):
-    facts = gx.sentence_facts(text_units(spark, d), PACK)
+    facts = cut_table(gx.sentence_facts(text_units(spark, d), PACK).drop("unit"))  # read twice, the texts once
     base = gx.sentence_edges(facts, PACK).unionByName(
         gx.propagated_edges(facts, gx.item_penalties(text_items(spark, d), PACK), PACK))
     return gx.theme_edges(base, gx.pack_nodes(spark, PACK), PACK).select("source", "target", "item_id", "law")
