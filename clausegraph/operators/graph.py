@@ -157,12 +157,16 @@ def build_graph(units: DataFrame, items: DataFrame, pack: GraphPack) -> tuple[Da
     Facts and edges are checkpointed: searches read the graph many times and must
     not scan the texts again, also when executors are lost in between.
     """
-    facts = cut_lineage(sentence_facts(units, pack).drop("unit"))
+    facts = cut_table(sentence_facts(units, pack).drop("unit"))
     nodes = pack_nodes(units.sparkSession, pack)
     base = sentence_edges(facts, pack).unionByName(propagated_edges(facts, item_penalties(items, pack), pack))
-    base = dedupe_edges(base)
-    edges = cut_lineage(dedupe_edges(base.unionByName(theme_edges(base, nodes, pack))))
-    return prune_nodes(nodes, edges), edges
+    base = cut_table(dedupe_edges(base))
+    themes = cut_lineage(dedupe_edges(theme_edges(base, nodes, pack)))  # at most the pack's theme entries
+    same = [F.col(f"_b.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in EDGE_KEY]
+    known = base.alias("_b").join(F.broadcast(themes.alias("_t")), same, "left_semi").select(*EDGE_KEY)
+    fresh = cut_lineage(themes.alias("_t").join(F.broadcast(known).alias("_b"), same, "left_anti").select(*base.columns))
+    edges = base.unionByName(fresh)  # an edge of the text comes before the theme's
+    return cut_lineage(prune_nodes(nodes, edges)), edges
 
 
 # ---------------------------------------------------------------- merging for display
@@ -215,6 +219,22 @@ def link_entities(queries: DataFrame, nodes: DataFrame, behavior_kinds: tuple[st
     return lookup_join(best, nodes.select("id", "name", "type", "behaviors"), "id").withColumnRenamed("id", "node")
 
 
+def item_profiles(edges: DataFrame, pack: GraphPack, k: int) -> DataFrame:
+    """``(profile, marks, first, items)``: items that touch the same nodes and punishment edges get the same scores and paths.
+
+    ``marks(hop, node, target, n)`` are the nodes of an item and its ``n`` punishment edges at a node (``hop``); of a
+    profile's items the ``k`` smallest are kept, ``first`` is the least of them.  The lexicon bounds the marks of an item.
+    """
+    nodes = node_items(edges).select("item_id", F.lit(False).alias("hop"), "node", F.lit(None).cast("string").alias("target"), F.lit(1).cast("bigint").alias("n"))
+    penal = edges.where(F.col("relation") == pack.punish).select(
+        "item_id", F.lit(True).alias("hop"), F.explode(F.array_distinct(F.array("source", "target"))).alias("node"), "target")
+    marks = nodes.unionByName(penal.groupBy(*penal.columns).agg(F.count(F.lit(1)).alias("n")))
+    per_item = marks.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("hop", "node", "target", "n"))).alias("marks"))
+    ranked = top_per_key(per_item, ["marks"], [F.col("item_id").asc()], k)
+    grouped = ranked.groupBy("marks").agg(F.min_by("item_id", "rank").alias("first"), F.collect_list(F.struct("item_id")).alias("items"))
+    return cut_lineage(grouped.withColumn("profile", F.monotonically_increasing_id()))
+
+
 def graph_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, pack: GraphPack, k: int = 5,
                  w: GraphWeights = GraphWeights()) -> DataFrame:
     """``(query_id, item_id, score, path, rank)``: items supported by the linked entities.
@@ -241,19 +261,23 @@ def graph_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, pack: G
         "query_id", "node", (F.col("strength") * w.theme_drill).alias("w"),
         F.struct(F.lit(2).alias("p"), F.concat_ws(" → ", "name", "behavior").alias("label")).alias("path"))
     spread_ = direct.unionByName(drilled)
-    found = lookup_join(node_items(edges), spread_, "node").select("query_id", "item_id", "w", "path")
+    profiles = item_profiles(edges, pack, k)
+    marks = profiles.select("profile", "first", F.explode("marks").alias("m")).select("profile", "first", "m.*")
+    touched = marks.where(~F.col("hop")).select("profile", "first", "node")
+    found = lookup_join(touched, spread_, "node").select("query_id", "profile", "first", "w", F.lit(1).cast("bigint").alias("n"), "path")
 
     hop = seeds.where(is_behavior).select(
         "query_id", "node", "name", (F.col("strength") * w.punish_hop * boost).alias("w"))
-    penal = edges.where(F.col("relation") == pack.punish)
-    ends = F.array_distinct(F.array("source", "target"))
-    penal = penal.select(F.explode(ends).alias("node"), "item_id", "target")
     target_name = F.substring_index("target", ":", -1)
-    hops = lookup_join(penal, hop, "node").select(
-        "query_id", "item_id", "w",
+    hops = lookup_join(marks.where("hop").drop("hop"), hop, "node").select(
+        "query_id", "profile", "first", "w", "n",
         F.struct(F.lit(3).alias("p"), F.concat_ws(" → ", "name", target_name).alias("label")).alias("path"))
-    scored = found.unionByName(hops).groupBy("query_id", "item_id").agg(
-        F.sum(to_fixed(F.col("w"))).alias("raw"), F.max("path").alias("path"))
+    scored = found.unionByName(hops).groupBy("query_id", "profile", "first").agg(
+        F.sum(to_fixed(F.col("w")) * F.col("n")).alias("raw"), F.max("path").alias("path"))
+    # an item among the best k has fewer than k profiles before its own
+    best = top_per_key(scored.where(F.col("raw") > 0), ["query_id"], [F.col("raw").desc(), F.col("first").asc()], k).drop("rank", "first")
+    items = profiles.select("profile", F.explode("items.item_id").alias("item_id"))
+    scored = lookup_join(items, best, "profile").select("query_id", "item_id", "raw", "path")
     from clausegraph.operators.lexical import normalized_top
 
     return normalized_top(scored, k).select("query_id", "item_id", "score", F.col("path.label").alias("path"), "rank")

@@ -38,3 +38,20 @@ def test_theme_edges_compute_the_edges_once(spark, counted):
     got = gx.theme_edges(rows, nodes.drop("degree"), PACK).collect()
     assert [(r["source"], r["target"], r["item_id"]) for r in got] == [("theme:escape", "violation:block exit", 1)]
     assert seen.value == base.count()
+
+
+def test_search_scores_equal_items_once(spark):
+    rows = []
+    for i in [None, *range(30)]:
+        law = None if i is None else f"L{i % 2}"
+        rows += [("violation:block exit", "object:exit", "involve", i, law, 1, 0, 0)]
+        if i is not None and i % 3 == 0:
+            rows += [("violation:block exit", "penalty:fine", "punish", i, law, 1, 0, 1)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, item_id int, law string, pass int, pos int, ord int")
+    profiles = gx.item_profiles(edges, PACK, 4).collect()
+    assert sorted((r["first"], len(r["items"]), len(r["marks"])) for r in profiles) == [(0, 4, 5), (1, 4, 2)]
+    nodes = gx.prune_nodes(gx.pack_nodes(spark, PACK), edges)
+    q = spark.createDataFrame([(1, "a blocked exit"), (2, "exit")], "query_id int, text string")
+    got = sorted((r["query_id"], r["rank"], r["item_id"]) for r in gx.graph_search(q, nodes, edges, PACK, 12).collect())
+    with_fine, plain = [i for i in range(30) if i % 3 == 0], [i for i in range(30) if i % 3]
+    assert got == [(q, n + 1, i) for q in (1, 2) for n, i in enumerate([*with_fine, *plain][:12])]  # 2: by two bigrams
