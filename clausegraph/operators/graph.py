@@ -323,23 +323,30 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(pair, back)).alias("e")).select("e.a", "e.b").distinct()
 
 
+def steps_from(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``(center, via, id)``: the distinct neighbours ``id`` of every node of ``start(center, id)``.
+
+    Only edges that touch ``start`` are made distinct; those of all other nodes never cross the network.
+    """
+    ends = F.array(*[F.struct(F.col(a).alias("via"), F.col(b).alias("id")) for a, b in (("source", "target"), ("target", "source"))])
+    both = edges.select("source", "target").select(F.explode(ends).alias("e")).select("e.via", "e.id")
+    return lookup_join(both, start.withColumnRenamed("id", "via"), "via").select("center", "via", "id").distinct()
+
+
 def ego_nodes(edges: DataFrame, centers: DataFrame, hops: int = 2, max_nodes: int = 56) -> DataFrame:
     """``(center, id, hop, bridges)`` around every center.
 
     All direct neighbours are kept; second-hop nodes fill what is left of
     ``max_nodes``, most bridges into the first hop first.
     """
-    adj = neighbours(edges)
     start = cut_lineage(centers.select(F.col("id").alias("center")).distinct())
     hop0 = start.select("center", F.col("center").alias("id"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("bridges"))
-    hop1 = lookup_join(adj.withColumnRenamed("a", "center"), start, "center").where("b <> center").select(
-        "center", F.col("b").alias("id"))
+    hop1 = steps_from(edges, start.select("center", F.col("center").alias("id"))).where("id <> center").select("center", "id")
     hop1 = cut_lineage(hop1)  # read five times below; far smaller than the edges
     near = hop1.select("center", "id", F.lit(1).alias("hop"), F.lit(0).cast("bigint").alias("bridges"))
     if hops < 2:
         return hop0.unionByName(near)
-    steps = lookup_join(adj.withColumnRenamed("a", "id"), hop1, "id").select("center", F.col("b").alias("id"))
-    bridged = steps.groupBy("center", "id").agg(F.count(F.lit(1)).alias("bridges"))
+    bridged = steps_from(edges, hop1).groupBy("center", "id").agg(F.count(F.lit(1)).alias("bridges"))
     known = hop0.select("center", "id").unionByName(hop1)
     fresh = bridged.join(known, ["center", "id"], "left_anti")
     room = hop1.groupBy("center").agg(F.greatest(F.lit(0), F.lit(max_nodes - 1) - F.count(F.lit(1))).alias("room"))

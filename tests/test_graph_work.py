@@ -31,6 +31,14 @@ def star(spark, n=40):
     return spark.createDataFrame(rows, EDGES)
 
 
+def test_ego_filters_before_it_makes_distinct(spark):
+    start = spark.createDataFrame([("p1", "p1")], "center string, id string")
+    steps = gx.steps_from(star(spark), start)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Aggregate") < plan.index("Join")  # the distinct is above the join
+    assert {r["id"] for r in steps.collect()} == {f"s{i % 7}" for i in range(40) if i % 9 == 1}
+
+
 def test_theme_edges_compute_the_edges_once(spark, counted):
     _, nodes, edges = build(spark)
     base = edges.where("pass < 3")
