@@ -39,6 +39,12 @@ def test_ego_filters_before_it_makes_distinct(spark):
     assert {r["id"] for r in steps.collect()} == {f"s{i % 7}" for i in range(40) if i % 9 == 1}
 
 
+def test_ego_edges_compute_the_members_once(spark, counted):
+    members, seen = counted(spark.createDataFrame([("p1", "p1", 0)] + [("p1", f"s{i}", 1) for i in range(7)], "center string, id string, hop int"))
+    got = gx.ego_edges(star(spark), members).collect()
+    assert {r["source"] for r in got} == {"p1"} and seen.value == 8
+
+
 def test_theme_edges_compute_the_edges_once(spark, counted):
     _, nodes, edges = build(spark)
     base = edges.where("pass < 3")
