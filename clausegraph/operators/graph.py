@@ -368,7 +368,7 @@ def ego_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 def subgraph(edges: DataFrame, items: DataFrame, highlight: DataFrame) -> DataFrame:
     """Edges of the given items plus edges that touch a highlighted node."""
     asked = items.select("item_id").distinct().withColumn("_i", F.lit(True))
-    marks = highlight.select("id").distinct().withColumn("_h", F.lit(True))
+    marks = cut_table(highlight.select("id").distinct()).withColumn("_h", F.lit(True))  # counted and joined twice
     flagged = lookup_join(edges, asked, "item_id", "left")
     flagged = lookup_join(flagged, marks.select(F.col("id").alias("source"), F.col("_h").alias("_s")), "source", "left")
     flagged = lookup_join(flagged, marks.select(F.col("id").alias("target"), F.col("_h").alias("_t")), "target", "left")

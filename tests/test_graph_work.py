@@ -45,6 +45,12 @@ def test_ego_edges_compute_the_members_once(spark, counted):
     assert {r["source"] for r in got} == {"p1"} and seen.value == 8
 
 
+def test_subgraph_computes_the_highlight_once(spark, counted):
+    marks, seen = counted(spark.createDataFrame([("s3",)], "id string"))
+    got = gx.subgraph(star(spark), spark.createDataFrame([(0,)], "item_id int"), marks).collect()
+    assert {r["item_id"] for r in got} == {0} | {i for i in range(40) if i % 7 == 3} and seen.value == 1
+
+
 def test_theme_edges_compute_the_edges_once(spark, counted):
     _, nodes, edges = build(spark)
     base = edges.where("pass < 3")
