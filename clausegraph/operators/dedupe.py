@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
 from clausegraph.operators.lexical import attach_dictionary
-from clausegraph.operators.scale import lookup_join
-from clausegraph.session import cut_lineage
+from clausegraph.operators.scale import fits, lookup_join
+from clausegraph.session import cut_lineage, cut_table
 
 
 def exact_dedupe(items: DataFrame, key: str, order: str, text: str = "text", digest: Column | None = None) -> DataFrame:
@@ -62,10 +62,15 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Keep pairs ``(a, b)`` whose exact Jaccard similarity reaches the threshold."""
+    """Keep pairs ``(a, b)`` whose exact Jaccard similarity reaches the threshold.
+
+    Only the sets of the pairs cross the network while there are few enough pairs to broadcast.
+    """
+    pairs = cut_table(pairs)
+    few = F.broadcast if fits(pairs) else lambda df: df
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = left.join(few(pairs), "a").join(right.join(few(pairs.select("b").distinct()), "b", "left_semi"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     jaccard = common / (F.size("sa") + F.size("sb") - common)
     return both.where(jaccard >= threshold).select("a", "b")
@@ -80,8 +85,8 @@ def near_dedupe(items: DataFrame, key: str, text: str = "text", threshold: float
     groups, so a group of n copies costs n comparisons and not n².  Result equals
     the sequential selection.
     """
-    sets = cut_lineage(shingle_sets(items, key, text, size).where(F.size("s") > 0))
-    unique = cut_lineage(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s"))
+    sets = cut_table(shingle_sets(items, key, text, size).where(F.size("s") > 0))
+    unique = cut_table(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s"))
     groups = cut_lineage(_prefixes(unique, threshold))
     open_ = groups
     kept = unique.join(groups.select("id").distinct(), "id", "left_anti").select("id")
