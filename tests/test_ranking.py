@@ -1,5 +1,7 @@
 """The best items of a question by products of postings and weights: equal to the join, without a row per posting and question."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,35 @@ def test_no_row_per_posting_and_question(spark):
     found = lx.bm25_search(units, asked, 3)
     assert "MapInArrow" in found._jdf.queryExecution().toString()  # products of postings and weights, not a join with the questions
     assert found.count() == 90
+
+
+def test_a_product_takes_a_cell_per_hit(monkeypatch):
+    """200 questions, of which each token is asked by few: cells are postings times the questions that ask them, and blocks change nothing."""
+    rng = np.random.default_rng(2)
+    tokens, columns = rng.integers(0, 300, 2000), np.repeat(np.arange(200), 10)
+    tokens, columns = np.unique(np.stack([tokens, columns]), axis=1)
+    values = rng.random(len(tokens))
+    weights = ranking.Weights(tokens, columns, values, np.arange(200))
+    asked, x = rng.integers(0, 400, 3000), rng.random(3000)
+    units = np.r_[0, np.sort(rng.choice(np.arange(1, 3000), 400, replace=False))]
+    items = np.r_[0, np.sort(rng.choice(units[1:], 90, replace=False))]
+    want = np.zeros((len(items), 200))
+    table = np.zeros((400, 200))
+    table[tokens, columns] = values
+    for a, b in zip(units, [*units[1:], 3000]):
+        row = np.searchsorted(items, a, side="right") - 1
+        want[row] = np.maximum(want[row], np.floor(table[asked[a:b]] * x[a:b, None] * float(ranking.SCALE) + 0.5).sum(0))
+    taken, sums = [], ranking.Weights._sums
+    monkeypatch.setattr(ranking.Weights, "_sums", staticmethod(lambda head, count, *rest: taken.append(count.sum()) or sums(head, count, *rest)))
+    assert (weights.products(asked, x, units, items) == want).all()
+    assert sum(taken) == (table[asked] > 0).sum() < 3000 * 200 / 20
+    monkeypatch.setattr(ranking, "SUMS", 400)
+    monkeypatch.setattr(ranking, "HITS", 30)
+    assert (weights.products(asked, x, units, items) == want).all()
+
+
+def test_a_block_keeps_its_best_only():
+    best = ranking._Best(3, 5, pa.int64())
+    best.add("all", pa.chunked_array([pa.array(range(1000))]), np.arange(1.0, 5001).reshape(1000, 5))
+    assert best.size == 15
+    assert sorted(best.result()["item_id"].to_pylist()) == sorted([997, 998, 999] * 5)
