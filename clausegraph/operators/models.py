@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
 from clausegraph.operators.scale import lookup_join, with_scalars
+from clausegraph.session import cut_table
+
+#: Cells of the hashed gram counts.
+FEATURES = 1 << 15
 
 
 def char_grams(text: Column | str) -> Column:
@@ -28,26 +32,41 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return lookup_join(df, weights, label)
 
 
-def train_text_classifier(rows: DataFrame, text: str, label: str, features: int = 1 << 15, c: float = 2.0,
+def gram_counts(rows: DataFrame, text: str, features: int = FEATURES) -> DataFrame:
+    """``rows`` without ``text``, with its hashed gram counts ``tf``, as a stored table: grams are made once for all that read it."""
+    counts = _hashing(features).transform(rows.withColumn("grams", char_grams(text)))
+    return cut_table(counts.drop("grams", text))
+
+
+def _hashing(features: int) -> HashingTF:
+    return HashingTF(inputCol="grams", outputCol="tf", numFeatures=features)
+
+
+def train_text_classifier(rows: DataFrame, text: str, label: str, features: int = FEATURES, c: float = 2.0,
                           max_iter: int = 20) -> PipelineModel:
-    """``regParam`` is ``1 / (C · rows)``, the scaling of an unaveraged loss."""
-    data = balanced(rows.where(F.col(label).isNotNull()).withColumn("grams", char_grams(text)), label)
+    """``regParam`` is ``1 / (C · rows)``, the scaling of an unaveraged loss.  ``rows`` of ``gram_counts`` are read as they are."""
+    if "tf" not in rows.columns:
+        rows = gram_counts(rows.select(text, label), text, features)
+    data = balanced(rows.where(F.col(label).isNotNull()).select("tf", label), label)
     data = data.withColumn("_label", F.col(label).cast("string"))
     total = max(1, rows.count())
     stages = [
         StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features"),
+        IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=max_iter,
                            regParam=1.0 / (c * total)),
     ]
-    return Pipeline(stages=stages).fit(data)
+    indexer, *learned = Pipeline(stages=stages).fit(data).stages
+    return PipelineModel(stages=[indexer, _hashing(features), *learned])
 
 
 def predict(model: PipelineModel, rows: DataFrame, text: str, prefix: str = "ml_") -> DataFrame:
-    """Adds ``<prefix>intent`` and ``<prefix>confidence``."""
+    """Adds ``<prefix>intent`` and ``<prefix>confidence``; ``rows`` of ``gram_counts`` give up their ``tf``."""
     labels = model.stages[0].labels
-    data = rows.withColumn("grams", char_grams(text))
-    scored = PipelineModel(stages=model.stages[1:]).transform(data)
+    if "tf" in rows.columns:  # of ``gram_counts``
+        scored = PipelineModel(stages=model.stages[2:]).transform(rows)
+    else:
+        scored = PipelineModel(stages=model.stages[1:]).transform(rows.withColumn("grams", char_grams(text)))
     probabilities = vector_to_array("probability")
     name = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
     return scored.withColumn(f"{prefix}intent", name).withColumn(f"{prefix}confidence", F.array_max(probabilities)).drop(
