@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.operators import lexical as lx, ranking
 from clausegraph.operators.scale import top_per_key
+from clausegraph.sources.index import StoredIndex
 
 WORDS = ["the", "fire", "door", "bike", "le", "und", "ñ"]
 
@@ -78,3 +79,44 @@ def test_a_block_keeps_its_best_only():
     best.add("all", pa.chunked_array([pa.array(range(1000))]), np.arange(1.0, 5001).reshape(1000, 5))
     assert best.size == 15
     assert sorted(best.result()["item_id"].to_pylist()) == sorted([997, 998, 999] * 5)
+
+
+def test_sums_below_the_floor_are_left_out_and_the_others_exact():
+    rng = np.random.default_rng(5)
+    pairs = np.unique(np.stack([rng.integers(0, 60, 3000), rng.integers(0, 300, 3000)]), axis=1)
+    groups = np.sort(rng.integers(0, 90, 300))
+    groups = np.unique(groups, return_inverse=True)[1]
+    weights = ranking.Weights(pairs[0], pairs[1], rng.random(pairs.shape[1]) + 0.01, groups)
+    tokens, x = np.where(rng.random(4000) < 0.6, rng.integers(0, 4, 4000), rng.integers(0, 70, 4000)), rng.random(4000)
+    units = np.r_[0, np.sort(rng.choice(np.arange(1, 4000), 500, replace=False))]
+    whole = weights.products(tokens, x, units, units)
+    for share in (0.0, 0.5, 0.99):
+        floor = np.maximum(1, np.quantile(whole, share, axis=0, method="higher"))  # sums at the floor itself count
+        unit, group, score = weights.reaching(tokens, x, units, floor)
+        got = np.zeros_like(whole)
+        np.maximum.at(got, (unit, group), score)
+        assert (got == np.where(whole >= floor, whole, 0)).all()
+        assert share < 0.9 or len(unit) < whole.size / 20
+
+
+@pytest.mark.parametrize("by_part", [False, True])
+def test_units_of_an_index_are_scored_where_they_lie(spark, tmp_path, monkeypatch, by_part):
+    """Repeated and null ids, copies and several lengths of a unit; the postings neither cross the network nor are written."""
+    monkeypatch.setattr(ranking, "FIRST", 3)
+    rows = [(i % 50 if i % 9 else None, text(i % 40, 3 + i % 11), "en" if i % 3 else "fr") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    units = lx.tokenized(lx.explode_units(docs, "doc_id", "text", F.col("lang"), ".")).repartition(5)
+    asked = spark.createDataFrame([(q, f"{text(q, 2 + q % 4)} fire fire") for q in range(8)] + [(None, "bike the"), (9, None), (10, "absent")], "query_id long, text string")
+    small = StoredIndex(spark, str(tmp_path / "s")).append(units)
+    assert not small.in_all_buckets(lx.query_terms(asked))
+    index = StoredIndex(spark, str(tmp_path / "i")).append(units, buckets=2)
+    keys = ["query_id", *(["part"] if by_part else [])]
+    whole = ranked(lx.bm25_scores(small, asked, by_part=by_part), 4, keys)
+    found = lx.bm25_scores(index, asked, by_part=by_part, k=4)
+    assert ranked(found, 4, keys) == whole == ranked(lx.bm25_scores(small, asked, by_part=by_part, k=4), 4, keys)
+    if not by_part:
+        tfidf = [sorted(map(tuple, lx.tfidf_search(i, asked, 4).collect()), key=repr) for i in (index, small)]
+        assert tfidf[0] == tfidf[1]
+    assert not list(tmp_path.glob("i/segments/*/inverted")) and list(tmp_path.glob("s/segments/*/inverted"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item_id" not in plan and "unit_no" not in "".join(line for line in plan.split("\n") if "Exchange" in line)
