@@ -116,3 +116,19 @@ def test_simhash_links_alone_find_near_copies(spark, monkeypatch):
     got = {r["doc_id"] for r in document_dedup.drop_near_copies(docs(spark, rows)).collect()}
     near = {100 + i for i in range(20) if bin(simhash.fingerprint(rows[3 * i][1]) ^ simhash.fingerprint(rows[3 * i + 1][1])).count("1") <= 4}
     assert len(near) > 10 and got == {r[0] for r in rows} - near
+
+
+def test_every_simhash_pair_is_compared(spark, monkeypatch):
+    """Without MinHash bands: texts of one fingerprint, pairwise similar but unlike the one that stands for it, still find each other."""
+    lone = iter(range(10**9))
+    monkeypatch.setattr(document_dedup, "band_keys", lambda least: np.array([next(lone)], np.uint64))
+    monkeypatch.setattr(document_dedup, "spread_rows", lambda df: df.coalesce(1))  # one counter for all rows
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        tail = " ".join(f"t{rng.randrange(10**6)}" for _ in range(60))
+        rows += [(i, "x y z " * 150 + tail, "en", "a"), (100 + i, "x y z " * 150 + tail + " more", "en", "a")]
+    assert len({simhash.fingerprint(r[1]) for r in rows}) == 1
+    got = document_dedup.drop_near_copies(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(12))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == brute(rows)
