@@ -135,3 +135,18 @@ def test_build_if_absent_builds_once(spark, tmp_path):
     assert len(calls) == 1 and snapshots.open_snapshot(spark, folder)["rows"].count() == 3
     with pytest.raises(FileNotFoundError):
         snapshots.open_snapshot(spark, folder, 7)
+
+
+def test_hidden_items_build_no_table_on_the_driver(spark, docs, tmp_path, monkeypatch):
+    """Readers of the live rows share one array of hidden ids; a null key hides nothing; too many ids are joined by shuffle."""
+    lone = docs.limit(5).withColumn("doc_id", F.lit(None).cast("bigint"))
+    index = StoredIndex(spark, str(tmp_path / "i")).append(units(docs.unionByName(lone)))
+    index = index.append(units(docs.where("doc_id % 2 = 0"))).remove(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("item_id")))
+    live = index.forward()
+    assert "Broadcast" not in live._jdf.queryExecution().executedPlan().toString()
+    got = sorted(str(r["item_id"]) for r in live.select("item_id").distinct().collect())
+    assert got == sorted([str(r["doc_id"]) for r in docs.where("doc_id % 5 > 0").select("doc_id").distinct().collect()] + ["None"])
+    assert len(index._hidden) == 2  # one of the first segment, one of the second
+    want = rows(live.select(F.coalesce("item_id", F.lit(-1)), "unit_no"))
+    monkeypatch.setattr("clausegraph.sources.index.BROADCAST_ROWS", 3)
+    assert rows(StoredIndex(spark, index.folder).forward().select(F.coalesce("item_id", F.lit(-1)), "unit_no")) == want
