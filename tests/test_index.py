@@ -150,3 +150,22 @@ def test_hidden_items_build_no_table_on_the_driver(spark, docs, tmp_path, monkey
     want = rows(live.select(F.coalesce("item_id", F.lit(-1)), "unit_no"))
     monkeypatch.setattr("clausegraph.sources.index.BROADCAST_ROWS", 3)
     assert rows(StoredIndex(spark, index.folder).forward().select(F.coalesce("item_id", F.lit(-1)), "unit_no")) == want
+
+
+def test_cosine_reads_the_units_once_to_count_and_once_to_weigh(spark, docs, asked, tmp_path, monkeypatch):
+    index = StoredIndex(spark, str(tmp_path / "f")).append(units(docs, tx.mixed_features))
+    n, seen, forward = index.forward().count(), spark.sparkContext.accumulator(0), StoredIndex.forward
+
+    def counted(self):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = forward(self)
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(StoredIndex, "forward", counted)
+    got = rows(lx.tfidf_search(index, asked, 5))
+    assert got == rows(lx.tfidf_search(units(docs, tx.mixed_features), asked, 5))
+    assert seen.value <= 5 * n
